@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._core import Words, covered, grams, mix, per_row, slices, texts, words
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 4
 RUN_WINDOWS = 48
 SHARD_WORDS = 1 << 16
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -197,7 +197,7 @@ def shared_runs(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch.filter(batch.column("anchors").is_valid())):
                 t = texts(part.column("text"))
                 w = words(t)
                 r = window_runs(w)
@@ -230,7 +230,7 @@ def shared_runs(docs: DataFrame) -> DataFrame:
                     names=["anchor", "content", "doc_id", "text_key", "start", "run"],
                 )
 
-    return docs.mapInArrow(find, "anchor long, content long, doc_id long, text_key long, start int, run binary")
+    return docs.mapInArrow(find, "anchor long, content long, doc_id long, text_key int, start int, run binary")
 
 
 def first_documents(runs: DataFrame) -> DataFrame:
@@ -322,18 +322,17 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     no source and loses nothing. An empty table gives no rows; other columns are ignored.
     """
     everything = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = everything.where("doc_id IS NOT NULL")
-    found = anchors(rows)
+    found = anchors(everything).where("doc_id IS NOT NULL")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
     lists = found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))  # bounded by the document's length
-    runs = shared_runs(rows.join(lists, "doc_id").select("doc_id", "text", "anchors", F.xxhash64("text").alias("text_key")))
+    # Both joins with the texts are left joins on one key, so that the texts are dealt out once and read again.
+    runs = shared_runs(everything.join(lists, "doc_id", "left").select("doc_id", "text", "anchors", F.hash("text").alias("text_key")))
     distinct = runs.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.first("run").alias("run"))
     firsts = first_documents(distinct)
     again = runs.select("anchor", "content", "doc_id", "text_key", "start").join(firsts, ["anchor", "content"])
     mine = F.expr("filter(transform(firsts, (first, i) -> IF(first < doc_id, start + i, -1)), x -> x >= 0)")
     starts = again.select("doc_id", "text_key", mine.alias("s")).where(F.size("s") > 0)
     starts = starts.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "s")).alias("parts"))  # bounded by the document's length
-    whole = rows.join(starts, "doc_id", "left")
-    own = F.expr("flatten(transform(filter(parts, p -> p.text_key = xxhash64(text)), p -> p.s))")
-    loose = everything.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
-    return cut_out(whole.select("doc_id", "text", own.alias("starts")).unionByName(loose))
+    whole = everything.join(starts, "doc_id", "left")
+    own = F.expr("flatten(transform(filter(parts, p -> p.text_key = hash(text)), p -> p.s))")
+    return cut_out(whole.select("doc_id", "text", own.alias("starts")))
