@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,3 +109,10 @@ def server_list(spark: SparkSession) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own where none is set."""
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: later steps read it instead of making it again."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,8 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def scan(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Every step from messages to verdicts."""
-    scanned = scan_text(human_messages(X.messages(spark, sf)))
-    resolved = R.resolve_urls(explode_candidates(scanned), R.inspected_snapshot(latest_snapshot(X.fetches(spark, sf), ["request_url", "method"])))
+    scanned = X.stored(scan_text(human_messages(X.messages(spark, sf))))
+    snapshot = X.stored(R.inspected_snapshot(latest_snapshot(X.fetches(spark, sf), ["request_url", "method"])))
+    resolved = X.stored(R.resolve_urls(explode_candidates(scanned), snapshot))
     direct = R.direct_invites(scanned)
     found = R.lookup_invites(direct.unionByName(R.redirect_invites(resolved, direct)), X.invites(spark, sf))
     return {"scanned": scanned, "resolved": resolved, "invites": found, "verdicts": risk.score_messages(scanned, resolved, found, X.domain_list(spark), X.server_list(spark))}
@@ -79,7 +80,7 @@ def text_functions(spark: SparkSession, sf: str) -> DataFrame:
         T.collapse_whitespace(c).alias("collapsed"),
         T.remove_whitespace(c).alias("removed"),
         T.collapse_obfuscation(c).alias("obfuscation"),
-        T.strip_trailing_punct(c).alias("trailing"),
+        T.strip_trailing_punct(c).alias("stripped"),
         T.ensure_scheme(c).alias("scheme"),
         T.percent_unquote(c).alias("unquoted"),
         T.preview(c, 20).alias("preview"),
@@ -242,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
         "text_functions": rf"""SELECT message_id, translate(content, chr(12290) || chr(65294) || chr(65377), '...') AS dots, regexp_replace(content, '[<>\[\](){{}}*_`|"''“”‘’]', '', 'g') AS decoration,
             trim(regexp_replace(content, '\s+', ' ', 'g')) AS collapsed, regexp_replace(content, '\s+', '', 'g') AS removed,
             regexp_replace(regexp_replace(content, '[\s\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]+', '', 'g'), '[<>\[\](){{}}*`|]+', '', 'g') AS obfuscation,
-            rtrim(content, '.,!?;:''")]>}}') AS trailing, CASE WHEN regexp_matches(lower(content), '^https?://') THEN content ELSE concat('https://', content) END AS scheme,
+            rtrim(content, '.,!?;:''")]>}}') AS stripped, CASE WHEN regexp_matches(lower(content), '^https?://') THEN content ELSE concat('https://', content) END AS scheme,
             url_decode(content) AS unquoted, CASE WHEN length(content) > 20 THEN concat(content[1:17], '...') ELSE content END AS preview FROM {m}""",
         "page_domains": f"""SELECT page_id, domain, array_to_string(list_transform(range(1, len(p) + 1), lambda k: array_to_string(p[k:], '.')), '|') AS suffixes
             FROM (SELECT page_id, {host} AS domain, string_split({host}, '.') AS p FROM pages)""",
