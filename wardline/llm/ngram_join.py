@@ -1,12 +1,12 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Documents become sets of word n-gram hashes; equal sets are one. A set's prefix holds so many of its tokens, in a global
-order that puts frequent tokens last, that two sets at the threshold share at least `overlap` prefix tokens. A set joins the
-group of one of its SKETCH smallest hashes, the one that is the smallest of most sets, so that near copies, however many,
-fall into few groups. The token-group matrix has a row for each prefix token of a group's union. The overlap
-of two groups' unions bounds that of any two of their members, so only group pairs that reach the bound, and whose sizes
-fit, are opened. An opened pair is compared in cells of at most BLOCK sets from each side, and a cell returns a spanning
-forest of its links, never the pairs. Components of the forests are found by joins.
+order that puts frequent tokens last, that two sets at the threshold share a number of prefix tokens that grows with their
+size (`needed`). A set joins the group of its size class and of one of its SKETCH smallest hashes, the one that is the smallest
+of most sets, so that near copies, however many, fall into few groups. The token-group matrix has a row for each prefix token
+of a group's union. The overlap of two groups' unions bounds that of any two of their members, so only group pairs that
+reach the bound, in size classes that fit, are opened. An opened pair is compared in cells of at most BLOCK sets from each
+side, and a cell returns a spanning forest of its links, never the pairs. Components of the forests are found by joins.
 
 The order comes from a table of COUNTERS hashed counts, whose size is fixed; any order gives the same result.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import LOWER, Texts, grams, materialize, mix, per_row, slices, texts, words
+from ._core import LOWER, Texts, column, grams, materialize, mix, per_row, slices, texts, words
 
 WORDS = 5
 PERCENT = 80
@@ -29,42 +29,56 @@ COUNTERS = 1 << 20
 COUNTER_BLOCK = 1 << 14
 BLOCK = 256
 OVERLAP = 2
+SLOPE = 32
 SKETCH = 4
 
 
-def shingles(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each row's runs of n words, sorted in the row, and the rows' bounds. Fewer words are one run."""
-    t = Texts(LOWER[t.data], t.offsets)
-    w = words(t)
+def shingle_runs(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's runs of n words, repeats included, and the rows' bounds. Fewer words are one run."""
+    w = words(Texts(LOWER[t.data], t.offsets))
     h, at = grams(w, n)
-    row = w.rows()
     size = np.diff(w.first)
-    parts, rows = [h], [row[at]]
+    runs = np.where(size >= n, size - n + 1, np.minimum(size, 1))
+    bounds = np.concatenate([[0], np.cumsum(runs)])
+    out = np.zeros(int(bounds[-1]), np.uint64)
+    whole = np.repeat(size >= n, runs)
+    out[whole] = h
     for k in range(1, n):
         short = np.flatnonzero(size == k)
         if len(short):
             one = np.full(len(short), k, np.uint64)
             for j in range(k):
                 one = mix(one + w.hash[w.first[short] + j])
-            parts.append(one)
-            rows.append(short)
-    h, row = np.concatenate(parts), np.concatenate(rows)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+            out[bounds[short]] = one
+    return out, bounds
+
+
+def shingles(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each row's runs of n words, sorted in the row, and the rows' bounds."""
+    h, bounds = shingle_runs(t, n)
+    ends = bounds.tolist()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        h[a:b].sort()
     keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[keep], row[keep]
-    return h, np.searchsorted(row, np.arange(len(t.offsets)))
+    keep[1:] = h[1:] != h[:-1]
+    keep[bounds[:-1][np.diff(bounds) > 0]] = True
+    return h[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+
+
+def needed(size: np.ndarray, percent: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a set of a size shares at least with one it links to, and how many of these lie in both prefixes; neither falls with the size."""
+    least = -(-percent * size // 100)
+    return least, np.minimum(least, overlap + size // SLOPE)
 
 
 def token_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """COUNTERS hashed counts of all shingles of all documents."""
+    """COUNTERS hashed counts of all shingles of all documents, repeats included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in slices(batch):
-                h, _ = shingles(texts(part.column("text")), n)
+                h, _ = shingle_runs(texts(part.column("text")), n)
                 total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         if total.any():
             blocks = total.astype("<u4").reshape(-1, COUNTER_BLOCK)
@@ -96,9 +110,10 @@ def document_sets(docs: DataFrame, n: int, percent: int, counts: np.ndarray, ove
                 size = np.diff(bounds)
                 row = np.repeat(np.arange(len(size)), size)
                 weight = shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
-                order = np.lexsort((h, weight, row))
+                order = np.argsort(row << 8 | weight, kind="stable")  # a row's hashes are sorted
                 place = np.arange(len(h)) - bounds[row]
-                prefix = np.minimum(size, size - -(-percent * size // 100) + overlap)
+                least, common = needed(size, percent, overlap)
+                prefix = size - least + common
                 front = h[order][place < prefix[row]].view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
                 low = np.minimum(size, SKETCH)
@@ -113,6 +128,21 @@ def document_sets(docs: DataFrame, n: int, percent: int, counts: np.ndarray, ove
     return docs.mapInArrow(describe, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>, sketch array<long>")
 
 
+def unions(fronts: DataFrame) -> DataFrame:
+    """token, g, size from rows (g, size, prefix); the rows of a batch are combined, so that a hot group is sent about once a batch."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            token = lists.flatten().to_numpy()
+            at = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            _, one = np.unique(token.view(np.uint64) ^ mix(column(batch, "g").view(np.uint64))[at], return_index=True)
+            rows = pa.array(at[one])
+            yield pa.RecordBatch.from_arrays([pa.array(token[one]), batch.column("g").take(rows), batch.column("size").take(rows)], names=["token", "g", "size"])
+
+    return fronts.mapInArrow(combine, "token long, g long, size int")
+
+
 def linked_forest(sizes: np.ndarray, tokens: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between sets [0, first) and [first, ...), or among all if first is their number."""
     total = len(sizes)
@@ -202,27 +232,30 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     counts = token_counts(rows, n)
     described = materialize(document_sets(rows, n, percent, counts, overlap))
     key = ["d1", "d2", "n_shingles"]
-    sets = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    sets = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     sets = materialize(sets)
     popular = sets.groupBy(F.element_at("sketch", 1).alias("token")).agg(F.count(F.lit(1)).alias("n"))
     choice = sets.select("rep", F.explode("sketch").alias("token")).join(popular, "token", "left")
     choice = choice.groupBy("rep").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best"))
     sets = sets.drop("sketch").join(choice.select("rep", "best.token"), "rep")
     # Sets at the threshold differ little in size, so size classes keep apart what shares a common passage only.
-    sets = sets.withColumn("g", F.xxhash64("token", F.floor(F.log("n_shingles") / float(np.log(100 / percent))))).drop("token")
-    sets = materialize(sets)
+    step = 100 / percent
+    sets = sets.withColumn("size", F.floor(F.log("n_shingles") / float(np.log(step))).cast("int"))
+    sets = materialize(sets.withColumn("g", F.xxhash64("token", "size")).drop("token"))
 
-    group = sets.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    group = sets.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     group = materialize(group.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
-    matrix = sets.select("g", F.explode("prefix").alias("token")).distinct()
-    matrix = matrix.join(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1"), "token").select("token", "g")
-    shared = matrix.select("token", F.col("g").alias("a")).join(matrix.select("token", F.col("g").alias("b")), "token").where("a < b")
-    # One-token sets can't share more tokens than they have.
-    bound = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
-    side = lambda s: group.select(*(F.col(c).alias(f"{c}_{s}") for c in ("g", "n", "least", "most")))
-    pairs = bound.join(side("a"), F.col("a") == F.col("g_a")).join(side("b"), F.col("b") == F.col("g_b"))
-    fits = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
-    pairs = pairs.where(fits & (F.col("overlap") >= F.least(F.lit(overlap), "least_a", "least_b"))).select("a", "b", "n_a", "n_b")
+    fronts = described.select(F.col("doc_id").alias("rep"), "d1", "d2", "prefix").join(sets.select("rep", "d1", "d2", "g", "size"), ["rep", "d1", "d2"])
+    matrix = unions(fronts.select("g", "size", "prefix")).repartition(F.col("token")).distinct()
+    a = matrix.select("token", F.col("g").alias("a"), F.col("size").alias("size_a"))
+    b = matrix.select("token", F.col("g").alias("b"), F.col("size").alias("size_b"))
+    shared = a.join(b, "token").where("a < b AND abs(size_a - size_b) <= 1")
+    bound = shared.groupBy("a", "b", F.least("size_a", "size_b").alias("size")).agg(F.count(F.lit(1)).alias("overlap"))
+    # The smallest set of a size class needs the least; the tiny term keeps rounding on the safe side.
+    smallest = F.floor(F.pow(F.lit(step), "size") - 1e-6)
+    need = F.least(F.ceil(percent * smallest / 100), overlap + F.floor(smallest / SLOPE))
+    fit = bound.where(F.col("overlap") >= need).select("a", "b")
+    pairs = fit.join(group.select(F.col("g").alias("a"), F.col("n").alias("n_a")), "a").join(group.select(F.col("g").alias("b"), F.col("n").alias("n_b")), "b")
     # The larger group is the host; the sets of all its guests are dealt to cells together, so that it is sent once for each `block` of them.
     first = F.col("n_a") >= F.col("n_b")
     pairs = materialize(
