@@ -2,7 +2,9 @@
 
 A window is WINDOW consecutive words. Its anchor is the smallest hash of its word ANCHOR-grams; consecutive windows with one
 anchor form a run. Equal windows have equal anchors, so a shard that holds all runs of some anchors can decide their windows
-alone, and the work grows with the corpus, not with shards times corpus. Only anchors that occur in two documents are kept.
+alone, and the work grows with the corpus, not with shards times corpus. Only runs whose anchor stands in words that another
+document has beside it too are kept: documents are dealt to chunks of a bounded size, each chunk sends hashes of those words,
+packed, to buckets, and gets one bit for each back.
 Equal runs are combined map-side to the smallest document first; a shard indexes the distinct ones: suffixes sorted by their
 first words, the Burrows-Wheeler transform in a wavelet matrix of bit vectors with block counts. The runs are then streamed
 through a backward search that yields matching statistics, all runs in step; each interval at the threshold gives the smallest
@@ -26,7 +28,12 @@ WINDOW = 13
 ANCHOR = 4
 RUN_WINDOWS = 48
 SHARD_WORDS = 1 << 16
+#: The anchor and half of a window's other words, rounded up.
+CONTEXT = ANCHOR + (WINDOW - ANCHOR + 1) // 2
+CHUNK_CHARS = 4_000_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+CUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+RUNS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("chunk", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int32()), ("run", pa.binary())])
 
 
 class BitVector(NamedTuple):
@@ -179,58 +186,118 @@ def window_runs(w: Words) -> Runs:
     return Runs(row[start], start, np.minimum(last - start, RUN_WINDOWS), least[start])
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """anchor, doc_id of each document's anchors."""
+def context_codes(w: Words, r: Runs, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (bucket above, 32 bits below) of the CONTEXT-grams beside each anchor, and the word at which the anchor stands.
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                r = window_runs(words(texts(part.column("text"))))
-                _, one = np.unique(r.anchor ^ mix(r.row.astype(np.uint64)), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r.anchor[one].view(np.int64)), part.column("doc_id").take(pa.array(r.row[one]))], names=["anchor", "doc_id"])
-
-    return docs.mapInArrow(find, "anchor long, doc_id long")
-
-
-def shared_runs(docs: DataFrame) -> DataFrame:
-    """The runs whose anchor is in the row's list `anchors`: anchor, content (a second hash), doc_id, text_key, start (a word of the document), run (its words)."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.filter(batch.column("anchors").is_valid())):
-                t = texts(part.column("text"))
-                w = words(t)
-                r = window_runs(w)
-                listed = part.column("anchors")
-                owner = np.repeat(np.arange(part.num_rows), np.diff(listed.offsets.to_numpy()))
-                wanted = listed.flatten().to_numpy().view(np.uint64) ^ mix(owner.astype(np.uint64))
-                keep = np.isin(r.anchor ^ mix(r.row.astype(np.uint64)), wanted)
-                row, start, n, anchor = (x[keep] for x in r)
-                size = w.end - w.start
-                ends = np.cumsum(size + 1)
-                flat = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)  # the words, one space after each
-                flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = t.data[np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-                raw = flat.tobytes()
-                lo, hi = ends[start] - size[start] - 1, ends[start + n + WINDOW - 2] - 1
-                content = np.zeros(len(start), np.uint64)
-                for k in range(RUN_WINDOWS + WINDOW - 1):
-                    live = np.flatnonzero(n + WINDOW - 1 > k)
-                    if not len(live):
-                        break
-                    content[live] = mix(content[live] * np.uint64(3) + w.hash[start[live] + k])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(content.view(np.int64)),
-                        part.column("doc_id").take(pa.array(row)),
-                        part.column("text_key").take(pa.array(row)),
-                        pa.array((start - w.first[row]).astype(np.int32)),
-                        pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["anchor", "content", "doc_id", "text_key", "start", "run"],
-                )
-
-    return docs.mapInArrow(find, "anchor long, content long, doc_id long, text_key int, start int, run binary")
+    A window has WINDOW - ANCHOR words beside its anchor, so it holds CONTEXT - ANCHOR of them on the right or on the left: two
+    documents that share a window share a code. A code that is shared by chance costs work and changes no result.
+    """
+    total = len(w.start)
+    gram = np.full(total, np.uint64(2**64 - 1))
+    h, at = grams(w, ANCHOR)
+    gram[at] = h
+    stands = np.zeros(total, bool)
+    size = r.windows + WINDOW - ANCHOR
+    place = np.arange(size.sum()) + np.repeat(r.start - (np.cumsum(size) - size), size)
+    stands[place[gram[place] == np.repeat(r.anchor, size)]] = True
+    wide = np.zeros(total, np.uint64)
+    here = np.zeros(total, bool)
+    h, at = grams(w, CONTEXT)
+    wide[at], here[at] = h, True
+    side = CONTEXT - ANCHOR
+    right = np.flatnonzero(stands & here)
+    left = np.flatnonzero(stands[side:] & here[: max(0, total - side)]) + side
+    code = np.concatenate([wide[right], wide[left - side]])
+    return ((code >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | code & np.uint64(0xFFFFFFFF), np.concatenate([right, left])
+
+
+def parts_of(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in chunk.combine_chunks().to_batches():
+        yield from slices(batch)
+
+
+def chunk_codes(chunk: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's distinct codes, in order, and whether two documents of it have each."""
+    code, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for part in parts_of(chunk.filter(chunk.column("doc_id").is_valid())):
+        w = words(texts(part.column("text")))
+        got, at = context_codes(w, window_runs(w), buckets)
+        code.append(got)
+        owner.append(part.column("doc_id").to_numpy().view(np.uint64)[w.rows()[at]])
+    code = np.concatenate(code)
+    _, one = np.unique(code ^ mix(np.concatenate(owner)), return_index=True)
+    distinct, n = np.unique(code[one], return_counts=True)
+    return distinct, n > 1
+
+
+def codes_in_chunks(dealt: DataFrame, buckets: int) -> DataFrame:
+    """chunk, bucket, shared: for each chunk's codes of a bucket, in order, one bit: does another chunk have it too?"""
+
+    def ask(key: tuple, chunk: pa.Table) -> pa.Table:
+        code, _ = chunk_codes(chunk, buckets)
+        bucket = (code >> np.uint64(32)).astype(np.int32)
+        heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+        low = code.astype(np.uint32)
+        blobs = pa.array([low[a:b].tobytes() for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(low)], strict=False)], pa.binary())
+        return pa.table([pa.array(np.full(len(heads), key[0].as_py(), np.int32)), pa.array(bucket[heads]), blobs], names=["chunk", "bucket", "codes"])
+
+    def judge(key: tuple, asked: pa.Table) -> pa.Table:
+        codes = [np.frombuffer(x, np.uint32) for x in asked.column("codes").to_pylist()]
+        every, n = np.unique(np.concatenate(codes), return_counts=True)
+        every = every[n > 1]
+        bits = [np.packbits(np.isin(x, every)).tobytes() for x in codes]
+        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(bits, pa.binary())], names=["chunk", "bucket", "shared"])
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, codes binary")
+    return asked.groupBy("bucket").applyInArrow(judge, "chunk int, bucket int, shared binary")
+
+
+def shared_runs(dealt: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    """The runs with a code that another document has: anchor, content (a second hash), chunk, doc_id, text_key, start (a word of the document), run (its words)."""
+
+    def find(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        code, many = chunk_codes(chunk, buckets)
+        bounds = np.searchsorted(code >> np.uint64(32), np.arange(buckets + 1)) if answers.num_rows else []
+        for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True):
+            lo, hi = bounds[bucket : bucket + 2]
+            many[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+        code = code[many]
+        out = [pa.table([pa.array([], f.type) for f in RUNS], schema=RUNS)]
+        for part in parts_of(chunk.filter(chunk.column("doc_id").is_valid())):
+            t = texts(part.column("text"))
+            w = words(t)
+            r = window_runs(w)
+            got, at = context_codes(w, r, buckets)
+            wanted = np.zeros(len(w.start) + 1, np.int64)
+            wanted[at[np.isin(got, code)] + 1] = 1
+            wanted = np.cumsum(wanted)
+            keep = wanted[r.start + r.windows + WINDOW - ANCHOR] > wanted[r.start]
+            row, start, n, anchor = (x[keep] for x in r)
+            size = w.end - w.start
+            ends = np.cumsum(size + 1)
+            flat = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)  # the words, one space after each
+            flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = t.data[np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            raw = flat.tobytes()
+            lo, hi = ends[start] - size[start] - 1, ends[start + n + WINDOW - 2] - 1
+            content = np.zeros(len(start), np.uint64)
+            for k in range(RUN_WINDOWS + WINDOW - 1):
+                live = np.flatnonzero(n + WINDOW - 1 > k)
+                if not len(live):
+                    break
+                content[live] = mix(content[live] * np.uint64(3) + w.hash[start[live] + k])
+            columns = [
+                pa.array(anchor.view(np.int64)),
+                pa.array(content.view(np.int64)),
+                pa.array(np.full(len(start), key[0].as_py(), np.int32)),
+                part.column("doc_id").take(pa.array(row)),
+                part.column("text_key").take(pa.array(row)),
+                pa.array((start - w.first[row]).astype(np.int32)),
+                pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
+            ]
+            out.append(pa.table(columns, schema=RUNS))
+        return pa.concat_tables(out).combine_chunks()
+
+    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(find, "anchor long, content long, chunk int, doc_id long, text_key int, start int, run binary")
 
 
 def first_documents(runs: DataFrame) -> DataFrame:
@@ -281,58 +348,65 @@ def first_documents(runs: DataFrame) -> DataFrame:
     return runs.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(shards, "anchor long, content long, firsts array<long>")
 
 
-def cut_out(docs: DataFrame) -> DataFrame:
-    """Takes the words of the windows that begin at `starts` (null: none) out of each row."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                t = texts(part.column("text"))
-                w = words(t, hashed=False)
-                starts = part.column("starts")
-                sizes = np.diff(starts.offsets.to_numpy()) if len(starts) else np.zeros(0, np.int64)
-                sizes = np.where(starts.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
-                at = starts.flatten().to_numpy().astype(np.int64) + np.repeat(w.first[:-1], sizes)
-                gone = covered(len(w.start), at, WINDOW)
-                raw, digests = t.data.tobytes(), []
-                begin, end, first = w.start.tolist(), w.end.tolist(), w.first.tolist()
-                kept = np.flatnonzero(~gone)
-                bounds = np.searchsorted(kept, w.first).tolist()
-                kept = kept.tolist()
-                for r in range(part.num_rows):
-                    own = kept[bounds[r] : bounds[r + 1]]
-                    if len(own) == first[r + 1] - first[r]:
-                        joined = b" ".join(raw[t.offsets[r] : t.offsets[r + 1]].split())
-                    else:
-                        joined = b" ".join([raw[begin[k] : end[k]] for k in own])
-                    digests.append(hashlib.sha256(joined).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(w.first)), pa.array(per_row(gone, w.first)), pa.array(digests, pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256"],
-                )
-
-    return docs.mapInArrow(cut, RESULT)
-
-
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def _keys(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """A hash of doc_id and text_key, which tells the rows of a chunk apart; no row without an id is looked up."""
+    doc, text = (rows.column(c).fill_null(0).to_numpy().astype(np.int64).view(np.uint64) for c in ("doc_id", "text_key"))
+    return mix(mix(doc) * np.uint64(3) + text)
+
+
+def cut_out(dealt: DataFrame, starts: DataFrame) -> DataFrame:
+    """Takes the words of the windows that begin at the words `s` out of each row. starts: chunk, doc_id, text_key, s."""
+
+    def cut(chunk: pa.Table, starts: pa.Table) -> pa.Table:
+        starts = starts.combine_chunks()
+        lists = starts.column("s").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+        key = np.repeat(_keys(starts), sizes)
+        order = np.argsort(key, kind="stable")
+        key, begins = key[order], lists.flatten().to_numpy()[order].astype(np.int64)
+        out = [pa.table([pa.array([], f.type) for f in CUT], schema=CUT)]
+        for part in parts_of(chunk):
+            t = texts(part.column("text"))
+            w = words(t, hashed=False)
+            own = _keys(part)
+            lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+            n = np.where(part.column("doc_id").is_valid().to_numpy(zero_copy_only=False), hi - lo, 0)
+            at = begins[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)] + np.repeat(w.first[:-1], n)
+            gone = covered(len(w.start), at, WINDOW)
+            raw, digests = t.data.tobytes(), []
+            begin, end, first = w.start.tolist(), w.end.tolist(), w.first.tolist()
+            kept = np.flatnonzero(~gone)
+            bounds = np.searchsorted(kept, w.first).tolist()
+            kept = kept.tolist()
+            for r in range(part.num_rows):
+                left = kept[bounds[r] : bounds[r + 1]]
+                if len(left) == first[r + 1] - first[r]:
+                    joined = b" ".join(raw[t.offsets[r] : t.offsets[r + 1]].split())
+                else:
+                    joined = b" ".join([raw[begin[k] : end[k]] for k in left])
+                digests.append(hashlib.sha256(joined).hexdigest())
+            out.append(pa.table([part.column("doc_id"), pa.array(np.diff(w.first).astype(np.int64)), pa.array(per_row(gone, w.first).astype(np.int64)), pa.array(digests, pa.string())], schema=CUT))
+        return pa.concat_tables(out).combine_chunks()
+
+    return dealt.groupBy("chunk").cogroup(starts.groupBy("chunk")).applyInArrow(cut, RESULT)
+
+
+def substring_dedup(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256.
 
     A word goes if a window that covers it starts in a document with a smaller id too. Null and empty texts have no words; a
     text under WINDOW words has no window. Rows that repeat an id are one document: they don't remove each other. A null id is
     no source and loses nothing. An empty table gives no rows; other columns are ignored.
     """
-    everything = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = anchors(everything).where("doc_id IS NOT NULL")
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
-    lists = found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))  # bounded by the document's length
-    # Both joins with the texts are left joins on one key, so that the texts are dealt out once and read again.
-    runs = shared_runs(everything.join(lists, "doc_id", "left").select("doc_id", "text", "anchors", F.hash("text").alias("text_key")))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks, buckets = (max(1, -(-chars // n)) for n in (chunk_chars, 2 * chunk_chars))
+    # Dealt out once, and read again by each step; rows without an id are spread by their text.
+    chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.length("text")), F.lit(chunks)).cast("int")
+    dealt = rows.select("doc_id", "text", F.hash("text").alias("text_key"), chunk.alias("chunk")).repartition(F.col("chunk"))
+    runs = shared_runs(dealt, codes_in_chunks(dealt, buckets), buckets)
     distinct = runs.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.first("run").alias("run"))
     firsts = first_documents(distinct)
-    again = runs.select("anchor", "content", "doc_id", "text_key", "start").join(firsts, ["anchor", "content"])
+    again = runs.select("anchor", "content", "chunk", "doc_id", "text_key", "start").join(firsts, ["anchor", "content"])
     mine = F.expr("filter(transform(firsts, (first, i) -> IF(first < doc_id, start + i, -1)), x -> x >= 0)")
-    starts = again.select("doc_id", "text_key", mine.alias("s")).where(F.size("s") > 0)
-    starts = starts.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "s")).alias("parts"))  # bounded by the document's length
-    whole = everything.join(starts, "doc_id", "left")
-    own = F.expr("flatten(transform(filter(parts, p -> p.text_key = hash(text)), p -> p.s))")
-    return cut_out(whole.select("doc_id", "text", own.alias("starts")))
+    return cut_out(dealt, again.select("chunk", "doc_id", "text_key", mine.alias("s")).where(F.size("s") > 0))
