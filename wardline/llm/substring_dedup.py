@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import Words, covered, grams, mix, per_row, slices, texts, words
+from ._core import Texts, Words, covered, grams, mix, per_row, slices, texts, words
 
 WINDOW = 13
 ANCHOR = 4
@@ -33,7 +33,7 @@ CONTEXT = ANCHOR + (WINDOW - ANCHOR + 1) // 2
 CHUNK_CHARS = 4_000_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 CUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-RUNS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("chunk", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int32()), ("run", pa.binary())])
+RUNS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("chunk", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int32())])
 
 
 class BitVector(NamedTuple):
@@ -216,25 +216,37 @@ def parts_of(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from slices(batch)
 
 
-def chunk_codes(chunk: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chunk's distinct codes, in order, and whether two documents of it have each."""
-    code, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for part in parts_of(chunk.filter(chunk.column("doc_id").is_valid())):
-        w = words(texts(part.column("text")))
-        got, at = context_codes(w, window_runs(w), buckets)
-        code.append(got)
-        owner.append(part.column("doc_id").to_numpy().view(np.uint64)[w.rows()[at]])
-    code = np.concatenate(code)
+class Part(NamedTuple):
+    """A slice of a chunk with its words, runs and codes."""
+
+    rows: pa.RecordBatch
+    texts: Texts
+    words: Words
+    runs: Runs
+    code: np.ndarray
+    at: np.ndarray
+
+
+def chunk_codes(chunk: pa.Table, buckets: int) -> tuple[list[Part], np.ndarray, np.ndarray]:
+    """The chunk's slices, its distinct codes, in order, and whether two documents of it have each."""
+    parts, owner = [], [np.zeros(0, np.uint64)]
+    for rows in parts_of(chunk.filter(chunk.column("doc_id").is_valid())):
+        t = texts(rows.column("text"))
+        w = words(t)
+        r = window_runs(w)
+        parts.append(Part(rows, t, w, r, *context_codes(w, r, buckets)))
+        owner.append(rows.column("doc_id").to_numpy().view(np.uint64)[w.rows()[parts[-1].at]])
+    code = np.concatenate([np.zeros(0, np.uint64), *(p.code for p in parts)])
     _, one = np.unique(code ^ mix(np.concatenate(owner)), return_index=True)
     distinct, n = np.unique(code[one], return_counts=True)
-    return distinct, n > 1
+    return parts, distinct, n > 1
 
 
 def codes_in_chunks(dealt: DataFrame, buckets: int) -> DataFrame:
     """chunk, bucket, shared: for each chunk's codes of a bucket, in order, one bit: does another chunk have it too?"""
 
     def ask(key: tuple, chunk: pa.Table) -> pa.Table:
-        code, _ = chunk_codes(chunk, buckets)
+        _, code, _ = chunk_codes(chunk, buckets)
         bucket = (code >> np.uint64(32)).astype(np.int32)
         heads = np.flatnonzero(np.diff(bucket, prepend=-1))
         low = code.astype(np.uint32)
@@ -252,56 +264,69 @@ def codes_in_chunks(dealt: DataFrame, buckets: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(judge, "chunk int, bucket int, shared binary")
 
 
-def shared_runs(dealt: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """The runs with a code that another document has: anchor, content (a second hash), chunk, doc_id, text_key, start (a word of the document), run (its words)."""
+def shared_runs(dealt: DataFrame, shared: DataFrame, buckets: int, distinct: bool) -> DataFrame:
+    """The runs with a code that another document has: anchor, content (a second hash), chunk, doc_id, text_key, start (a word of the document).
+
+    distinct: of equal runs of a slice only the one of the smallest document, with its words as `run`.
+    """
+    schema = RUNS.append(pa.field("run", pa.binary())) if distinct else RUNS
 
     def find(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        code, many = chunk_codes(chunk, buckets)
+        parts, code, many = chunk_codes(chunk, buckets)
         bounds = np.searchsorted(code >> np.uint64(32), np.arange(buckets + 1)) if answers.num_rows else []
         for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True):
             lo, hi = bounds[bucket : bucket + 2]
             many[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
         code = code[many]
-        out = [pa.table([pa.array([], f.type) for f in RUNS], schema=RUNS)]
-        for part in parts_of(chunk.filter(chunk.column("doc_id").is_valid())):
-            t = texts(part.column("text"))
-            w = words(t)
-            r = window_runs(w)
-            got, at = context_codes(w, r, buckets)
+        out = [pa.table([pa.array([], f.type) for f in schema], schema=schema)]
+        for part in parts:
+            w, r = part.words, part.runs
             wanted = np.zeros(len(w.start) + 1, np.int64)
-            wanted[at[np.isin(got, code)] + 1] = 1
+            wanted[part.at[np.isin(part.code, code)] + 1] = 1
             wanted = np.cumsum(wanted)
             keep = wanted[r.start + r.windows + WINDOW - ANCHOR] > wanted[r.start]
             row, start, n, anchor = (x[keep] for x in r)
-            size = w.end - w.start
-            ends = np.cumsum(size + 1)
-            flat = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)  # the words, one space after each
-            flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = t.data[np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            raw = flat.tobytes()
-            lo, hi = ends[start] - size[start] - 1, ends[start + n + WINDOW - 2] - 1
             content = np.zeros(len(start), np.uint64)
             for k in range(RUN_WINDOWS + WINDOW - 1):
                 live = np.flatnonzero(n + WINDOW - 1 > k)
                 if not len(live):
                     break
                 content[live] = mix(content[live] * np.uint64(3) + w.hash[start[live] + k])
+            if distinct:
+                doc = part.rows.column("doc_id").to_numpy()[row]
+                order = np.lexsort((doc, content, anchor))
+                one = order[np.append(True, (np.diff(content[order]) != 0) | (np.diff(anchor[order]) != 0))[: len(order)]]
+                row, start, n, anchor, content = (x[one] for x in (row, start, n, anchor, content))
             columns = [
                 pa.array(anchor.view(np.int64)),
                 pa.array(content.view(np.int64)),
                 pa.array(np.full(len(start), key[0].as_py(), np.int32)),
-                part.column("doc_id").take(pa.array(row)),
-                part.column("text_key").take(pa.array(row)),
+                part.rows.column("doc_id").take(pa.array(row)),
+                part.rows.column("text_key").take(pa.array(row)),
                 pa.array((start - w.first[row]).astype(np.int32)),
-                pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
             ]
-            out.append(pa.table(columns, schema=RUNS))
+            if distinct:
+                columns.append(pa.array(run_bytes(part, start, start + n + WINDOW - 1), pa.binary()))
+            out.append(pa.table(columns, schema=schema))
         return pa.concat_tables(out).combine_chunks()
 
-    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(find, "anchor long, content long, chunk int, doc_id long, text_key int, start int, run binary")
+    kinds = "anchor long, content long, chunk int, doc_id long, text_key int, start int" + (", run binary" if distinct else "")
+    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(find, kinds)
+
+
+def run_bytes(part: Part, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """The words first[i]:last[i], one space between them."""
+    w = part.words
+    size = w.end - w.start
+    ends = np.cumsum(size + 1)
+    flat = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)  # the words, one space after each
+    flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = part.texts.data[np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    raw = flat.tobytes()
+    return [raw[a:b] for a, b in zip((ends[first] - size[first] - 1).tolist(), (ends[last - 1] - 1).tolist(), strict=True)]
 
 
 def first_documents(runs: DataFrame) -> DataFrame:
-    """anchor, content, firsts: for each window of a distinct run the smallest document that has it. runs: anchor, content, first, run."""
+    """anchor, content, firsts: for each window of a distinct run the smallest document that has it. runs: anchor, content, first, run, dealt out by anchor."""
 
     def search(shard: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(shard).combine_chunks().to_batches()[0]
@@ -345,7 +370,7 @@ def first_documents(runs: DataFrame) -> DataFrame:
         if held:
             yield search(held)
 
-    return runs.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(shards, "anchor long, content long, firsts array<long>")
+    return runs.sortWithinPartitions("anchor").mapInArrow(shards, "anchor long, content long, firsts array<long>")
 
 
 def _keys(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -404,9 +429,10 @@ def substring_dedup(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFram
     # Dealt out once, and read again by each step; rows without an id are spread by their text.
     chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.length("text")), F.lit(chunks)).cast("int")
     dealt = rows.select("doc_id", "text", F.hash("text").alias("text_key"), chunk.alias("chunk")).repartition(F.col("chunk"))
-    runs = shared_runs(dealt, codes_in_chunks(dealt, buckets), buckets)
-    distinct = runs.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.first("run").alias("run"))
-    firsts = first_documents(distinct)
-    again = runs.select("anchor", "content", "chunk", "doc_id", "text_key", "start").join(firsts, ["anchor", "content"])
+    shared = codes_in_chunks(dealt, buckets)
+    # Equal runs are combined in their chunks already; one exchange by anchor then serves both the combining and the index.
+    distinct = shared_runs(dealt, shared, buckets, distinct=True).select("anchor", "content", "doc_id", "run").repartition(F.col("anchor"))
+    firsts = first_documents(distinct.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.first("run").alias("run")))
+    again = shared_runs(dealt, shared, buckets, distinct=False).join(firsts, ["anchor", "content"])
     mine = F.expr("filter(transform(firsts, (first, i) -> IF(first < doc_id, start + i, -1)), x -> x >= 0)")
     return cut_out(dealt, again.select("chunk", "doc_id", "text_key", mine.alias("s")).where(F.size("s") > 0))
