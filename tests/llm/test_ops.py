@@ -54,6 +54,17 @@ def test_substring_dedup(docs):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_substring_dedup_across_chunks(spark):
+    """A window meets its copy in another chunk at every place of a text; null and repeated ids are no source for themselves."""
+    passage = [f"p{k}" for k in range(13)]
+    rows = [(i, " ".join([*(f"a{i}x{k}" for k in range(i % 7)), *passage, *(f"b{i}x{k}" for k in range(i % 5))])) for i in range(40)]
+    rows += [(None, rows[3][1]), (50, "z1 z2 " * 20), (50, "z1 z2 " * 20), (51, None), (52, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chars in (50, 10**6):
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed) for r in substring_dedup(docs, chars).collect())
+        assert got == [(-1, 0), (0, 0), *((i, 13) for i in range(1, 40)), (50, 0), (50, 0), (51, 0), (52, 0)]
+
+
 def test_license_scan(docs):
     got = {r.doc_id: r for r in license_scan(docs).collect()}
     assert (got[8].n_base, got[8].first_word, got[8].last_word, got[8].base_labels, got[8].score) == (2, 1, 6, "gpl,mit", 1.0)
