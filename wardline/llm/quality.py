@@ -2,7 +2,7 @@
 
 Counting rules come first. Then a modified Kneser-Ney trigram model over 64 byte classes is counted by Spark over all
 documents, one model per language; sorted arrays of gram hashes hold it. A document whose perplexity is outside its
-language's band is rejected. The bands are quantiles of all documents of the language, widened by a factor.
+language's band is rejected. The bands are quantiles of the documents of the language that pass the counting rules.
 A model has at most 64**3 grams and there are at most len(languages) + 1 models, so the broadcast is bounded (MODEL_BYTES).
 """
 
@@ -23,9 +23,9 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 WINDOW = 5
 REPEAT_PERCENT = 20
-#: A band reaches this many times the distance from the median to the quartile on its side; it is wide, since passages in another
-#: language are no fault. The mean of few grams varies more: below BAND_GRAMS grams the distance grows as 1 / sqrt(grams).
-BAND_WIDTH = 30.0
+#: The quantiles, of distances from the language's median, between which a document is kept; the README has what they reject. The mean
+#: of few grams varies more: below BAND_GRAMS grams a distance counts less, as sqrt(grams). A language with few documents rejects none.
+BAND = (0.03, 0.97)
 BAND_GRAMS = 1000
 MIN_GRAMS = 100
 GRAMS = 64**3
@@ -158,7 +158,7 @@ def document_stats(docs: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarr
     return rows.mapInArrow(score, f"{STATS}, model string, n_grams long, log10_perplexity double")
 
 
-def quality_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, width: float = BAND_WIDTH, min_grams: int = MIN_GRAMS) -> DataFrame:
+def quality_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, band: tuple[float, float] = BAND, min_grams: int = MIN_GRAMS) -> DataFrame:
     """One row per row of docs with the counts, base_failed, log10_perplexity, the band and kept.
 
     Null and empty texts have no words, so base_failed. Languages not listed, and null, share the model `other`. Below
@@ -167,15 +167,17 @@ def quality_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, width
     counts = gram_counts(docs, languages).toPandas()  # at most GRAMS rows for each of len(languages) + 1 models
     models = {m: kneser_ney(g["gram"].to_numpy(), g["n"].to_numpy()) for m, g in counts.groupby("model")}
     stats = materialize(document_stats(docs, models, languages))
-    q = [F.percentile_approx("log10_perplexity", p, 10000) for p in (0.25, 0.5, 0.75)]
-    bands = stats.where(F.col("n_grams") >= min_grams).groupBy("model").agg(
-        q[1].alias("middle"), (width * (q[1] - q[0])).alias("below"), (width * (q[2] - q[1])).alias("above")
-    )
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    enough = F.col("n_grams") >= min_grams
+    usual = stats.where(~failed & enough)
+    middle = F.broadcast(usual.groupBy("model").agg(F.percentile_approx("log10_perplexity", 0.5, 10000).alias("middle")))  # a row per model
     stretch = F.sqrt(1 + F.lit(float(BAND_GRAMS)) / F.greatest("n_grams", F.lit(1)))
+    distance = (F.col("log10_perplexity") - F.col("middle")) / stretch
+    q = [F.percentile_approx(distance, p, 10000) for p in band]
+    bands = usual.join(middle, "model").groupBy("model").agg(F.first("middle").alias("middle"), q[0].alias("below"), q[1].alias("above"))
     judged = stats.join(F.broadcast(bands), "model", "left")  # a row per model
-    judged = judged.withColumns({"lower": F.col("middle") - stretch * F.col("below"), "upper": F.col("middle") + stretch * F.col("above")})
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    outside = (F.col("n_grams") >= min_grams) & ~F.col("log10_perplexity").between(F.col("lower"), F.col("upper"))
+    judged = judged.withColumns({"lower": F.col("middle") + stretch * F.col("below"), "upper": F.col("middle") + stretch * F.col("above")})
+    outside = enough & ~distance.between(F.col("below"), F.col("above"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~F.coalesce(outside, F.lit(False))).alias("kept"),
