@@ -30,14 +30,18 @@ CONTENT = (
 )
 
 
-def content_sql() -> str:
-    cases = " ".join(f"WHEN {i} THEN {c.replace('n,', 'CAST(event_id % 1009 AS VARCHAR(9)),').replace('n)', 'CAST(event_id % 1009 AS VARCHAR(9)))').replace('k)', 'CAST(event_id % 13 AS VARCHAR(9)))').replace('k,', 'CAST(event_id % 13 AS VARCHAR(9)),')}" for i, c in enumerate(CONTENT))
+#: How many sites the messages name where no number of pages is given.
+SITES = 1009
+
+
+def content_sql(sites: int = SITES) -> str:
+    cases = " ".join(f"WHEN {i} THEN {c.replace('n,', f'CAST(event_id % {sites} AS VARCHAR(9)),').replace('n)', f'CAST(event_id % {sites} AS VARCHAR(9)))').replace('k)', 'CAST(event_id % 13 AS VARCHAR(9)))').replace('k,', 'CAST(event_id % 13 AS VARCHAR(9)),')}" for i, c in enumerate(CONTENT))
     return f"CASE event_id % 16 {cases} END"
 
 
-def messages_sql() -> str:
+def messages_sql(sites: int = SITES) -> str:
     return f"""SELECT event_id AS message_id, {T0} + event_id * 7 AS epoch, user_id % 20 AS guild_id, event_id % 50 AS channel_id, user_id,
-        concat('user', CAST(user_id AS VARCHAR(19))) AS user_name, event_type = 'error' AS author_is_bot, {T0} + user_id * 100 - 700000 AS created, {content_sql()} AS content FROM events"""
+        concat('user', CAST(user_id AS VARCHAR(19))) AS user_name, event_type = 'error' AS author_is_bot, {T0} + user_id * 100 - 700000 AS created, {content_sql(sites)} AS content FROM events"""
 
 
 def ops_sql() -> str:
@@ -51,8 +55,8 @@ def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM events", "FROM {events}").replace("chr(12290)", "'。'").replace("chr(8203)", "'​'"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _view(spark, sf_dir, messages_sql())
+def messages(spark: SparkSession, sf_dir: str, sites: int = SITES) -> DataFrame:
+    df = _view(spark, sf_dir, messages_sql(sites))
     return df.withColumn("ts", F.timestamp_seconds("epoch")).withColumn("account_created_at", F.timestamp_seconds("created")).drop("created")
 
 
@@ -69,9 +73,17 @@ SNIPPETS = {
 }
 
 
+def crawled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose addresses are numbered as the pages are (from 0, without gaps), so that they grow with pages.
+
+    The number of sites is odd, so that each of the 16 kinds of message comes to name each page; it may be one more than there are pages.
+    """
+    return messages(spark, sf_dir, spark.read.parquet(f"{sf_dir}/pages.parquet").count() | 1)
+
+
 def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawl outcomes for the addresses in the messages, with the given pages as bodies; each page serves the addresses whose number falls to it."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id < 1009").select("page_id", "html", "url")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html", "url")
     snippet = F.coalesce(F.create_map(*(F.lit(x) for kv in SNIPPETS.items() for x in kv))[(F.col("page_id") % 8).cast("int")], F.lit(""))
     body = F.encode(F.replace("html", F.lit("track("), F.concat(snippet, F.lit("track("))), "utf-8")
     n = F.col("page_id").cast("string")

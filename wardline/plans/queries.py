@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def scan(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Every step from messages to verdicts."""
-    scanned = X.stored(scan_text(human_messages(X.messages(spark, sf))))
+    scanned = X.stored(scan_text(human_messages(X.crawled_messages(spark, sf))))
     snapshot = X.stored(R.inspected_snapshot(latest_snapshot(X.fetches(spark, sf), ["request_url", "method"])))
     resolved = X.stored(R.resolve_urls(explode_candidates(scanned), snapshot))
     direct = R.direct_invites(scanned)
