@@ -172,8 +172,7 @@ def status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    batch = spark.read.parquet(f"{sf}/events.parquet")
-    return spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return jobs.replay(spark.read.parquet(f"{sf}/events.parquet"), "event_id", X.shared_folder(spark))
 
 
 def stream_history(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Continuous scans, user history and alert cooldown on Structured Streaming.
 
 The reference counts in processing time; here event time rules. Rows of a micro-batch are put in order of (ts, message_id) for
-each key. What comes after its key has moved on (by more than the watermark) is marked late and changes no state.
+each key, so a key's share of one micro-batch is held at once; `replay` bounds it. What comes after its key has moved on (by more than the watermark) is marked late and changes no state.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from ..sources.tables import human_messages
 HISTORY = "message_id long, user_id long, ts timestamp, earlier int, late boolean"
 HISTORY_STATE = "stamps array<double>"
 COOLDOWN_STATE = "last double, muted int, users array<long>"
+#: Rows of a micro-batch of a replay, whatever the table's size.
+BATCH_ROWS = 100_000
 
 
 def stream_scan(messages: DataFrame) -> DataFrame:
@@ -76,6 +78,30 @@ def stream_alert_suppression(actions: DataFrame) -> DataFrame:
     return rows.groupBy("alert_key").applyInPandasWithState(step, ALERTS, COOLDOWN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def replay(table: DataFrame, order: str, folder: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """A table as a stream in the order of a column that grows with event time: files of at most `rows` rows, one to a micro-batch.
+
+    The file source takes files by modification time, so that is set in the order of the names, which is that of the rows.
+    """
+    spark = table.sparkSession
+    path = f"{folder}/replay-{uuid.uuid4().hex}"
+    parts = max(1, -(-table.count() // rows))
+    table.repartitionByRange(parts, order).sortWithinPartitions(order).write.option("maxRecordsPerFile", rows).parquet(path)
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(home) if f.getPath().getName().startswith("part-")), key=_place)
+    last = fs.getFileStatus(home).getModificationTime()
+    for k, file in enumerate(files):
+        fs.setTimes(file, last - 1000 * (len(files) - k), -1)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("maxFileAge", f"{len(files) + 7 * 86400}s").option("pathGlobFilter", "part-*").parquet(path)
+
+
+def _place(path) -> tuple[int, int]:
+    """Partition and number of a part file, of part-00012-uuid-c003.snappy.parquet."""
+    name = path.getName()
+    return int(name.split("-")[1]), int(name.rsplit("-c", 1)[1].split(".")[0])
+
+
 def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs a stream over what is there, into a table in the folder, and reads it."""
     path = f"{folder}/stream-{uuid.uuid4().hex}"
