@@ -169,9 +169,12 @@ def chains(matches: list[tuple[int, int, int, int]], sizes: list[int]) -> list[t
     for t in {m[0] for m in matches}:
         own = sorted({(word, place, n) for k, place, word, n in matches if k == t})
         best: list[tuple[int, int]] = []
+        low = 0
         for i, (word, place, n) in enumerate(own):
             got, start = n, word
-            for j in range(max(0, i - 32), i):  # matches of a span lie close together
+            while own[low][0] < word - 2 * sizes[t]:  # a match and the gap after it are at most a template each
+                low += 1
+            for j in range(low, i):
                 w2, p2, n2 = own[j]
                 over = max(0, w2 + n2 - word, p2 + n2 - place)
                 if w2 < word and p2 < place and word - w2 - n2 <= sizes[t] and over < n and best[j][0] + n - over > got:
