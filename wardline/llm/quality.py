@@ -1,7 +1,7 @@
 """Quality rules with n-gram perplexity bands.
 
 Counting rules come first. Then a modified Kneser-Ney trigram model over 64 byte classes is counted by Spark over all
-documents, one model per language; sorted arrays of gram hashes hold it. A document whose perplexity is outside its
+documents, one model per language; a dense table of log probabilities holds it, whose size is fixed (see the README). A document whose perplexity is outside its
 language's band is rejected. The bands are quantiles of the documents of the language that pass the counting rules.
 A model has at most 64**3 grams and there are at most len(languages) + 1 models, so the broadcast is bounded (MODEL_BYTES).
 """
@@ -119,7 +119,7 @@ def _interpolated(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def kneser_ney(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted gram keys and log10 probabilities. All grams are listed, since smoothing gives each a probability."""
+    """All grams in order and their log10 probabilities, since smoothing gives each one."""
     c3 = np.zeros(GRAMS, np.int64)
     c3[gram] = n
     c3 = c3.reshape(64, 64, 64)
