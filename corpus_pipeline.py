@@ -49,7 +49,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Perplexity, links and packing are beyond SQL; tests hold the stages against brute-force versions.
+#: Perplexity, links and packing are beyond SQL; no test holds the whole pipeline against brute force yet.
 ORACLE_SQL = None
 
 
