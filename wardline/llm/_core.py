@@ -149,6 +149,14 @@ def per_row(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 #: 64 symbols of bytes: a-z 1-26 (A-Z alike), digits 27, full stop 28, comma 29, other ASCII 30, UTF-8 continuation bytes 31-54,
 #: lead bytes 55-62, white space 0.
 SYMBOL = np.full(256, 30, np.uint8)

@@ -5,8 +5,8 @@ the longest context that has seen it; each longer one adds its escape (estimate
 symbols that a longer context has seen are excluded from the shorter ones. Because the symbols seen in a context are a
 subset of those of its suffix, exclusion needs one sum for each context, so probabilities are computed once per gram.
 
-Neither the vocabulary nor the trie is broadcast: documents are dealt to chunks of a bounded size, each chunk asks for the
-words and grams that it holds, and a join gives it those only.
+Neither the vocabulary nor the trie is broadcast: documents are dealt to chunks of a bounded size, and each chunk asks for the
+words and grams that it holds (`_lookup`).
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._core import LOWER, Texts, materialize, slices, texts, words
+from ._core import LOWER, Texts, materialize, mix, slices, texts, words
+from ._lookup import Tally, answers, deal, parts_of, received
 
-ORDER = 3
+ORDER = 4
 FOLDS = 7
 HELD_OUT = 2
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 8_000_000
 WORD, GRAM = 0, 1
 COUNTS = "kind byte, key long, n long"
 SCORED = "doc_id long, n_tokens long, n_known long, log_sum double, score double"
+_GRAM_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def held_out() -> Column:
@@ -43,12 +45,12 @@ def byte_grams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each row and its end mark 0: ORDER bytes of context and the byte, as one number; and the rows' bounds. Before a row stand zeros."""
     rows = len(t.offsets) - 1
     pad = ORDER + 1
-    data = np.zeros(len(t.data) + pad * rows, np.uint32)
+    data = np.zeros(len(t.data) + pad * rows, np.uint64)
     at = np.arange(len(t.data)) + np.repeat(np.arange(rows) * pad + ORDER, np.diff(t.offsets))
     data[at] = t.data
     gram = data.copy()
     for k in range(1, ORDER + 1):
-        gram[k:] |= data[:-k] << np.uint32(8 * k)
+        gram[k:] |= data[:-k] << np.uint64(8 * k)
     bounds = t.offsets + pad * np.arange(rows + 1)
     real = np.ones(len(data), bool)
     for k in range(ORDER):
@@ -56,30 +58,36 @@ def byte_grams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return gram[real], t.offsets + np.arange(rows + 1)
 
 
+def gram_key(gram: np.ndarray) -> np.ndarray:
+    """Hashes that stand beside those of words."""
+    return mix(gram ^ _GRAM_SALT)
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """kind, key, n: training counts of word hashes and of grams; grams of other documents come with n = 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = Tally(), Tally()
         for batch in batches:
-            for part in slices(batch, most=16 << 20):
+            for part in slices(batch, most=2 << 20):
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 t = lowered(part.column("text"))
                 w = words(t)
-                key, n = np.unique(w.hash[train[w.rows()]], return_counts=True)
-                yield _counts(WORD, key.view(np.int64), n)
+                tallies[WORD].add(*np.unique(w.hash[train[w.rows()]], return_counts=True))
                 gram, bounds = byte_grams(t)
                 mine = np.repeat(train, np.diff(bounds))
-                key, n = np.unique(gram[mine], return_counts=True)
-                yield _counts(GRAM, key.astype(np.int64), n)
-                other = np.setdiff1d(gram[~mine], key)
-                yield _counts(GRAM, other.astype(np.int64), np.zeros(len(other), np.int64))
+                tallies[GRAM].add(*np.unique(gram[mine], return_counts=True))
+                other = np.unique(gram[~mine])
+                tallies[GRAM].add(other, np.zeros(len(other), np.int64))
+                yield from (_counts(kind, *tally.empty()) for kind, tally in enumerate(tallies) if tally.full)
+        yield from (_counts(kind, *tally.empty()) for kind, tally in enumerate(tallies))
 
     rows = docs.select("text", held_out().alias("held_out")).mapInArrow(count, COUNTS)
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _counts(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
 
 
 def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,16 +97,16 @@ def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def ppm_group(gram: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log10 P(last byte | ORDER bytes before it) of grams that share their two bytes before the last.
+    """log10 P(last byte | ORDER bytes before it) of grams that share the two bytes before the last.
 
     pairs[b, s]: training count of s after b, a table of at most 65,536 numbers. All grams of those contexts must be there.
     """
-    symbol = (gram & 255).astype(int)
     p = np.zeros(len(gram))
     done = np.zeros(len(gram), bool)
+    symbol = (gram & 255).astype(int)
 
     def step(count: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> None:
-        """One context: total and distinct are those left after exclusion."""
+        """One context for each row: total and distinct are those left after exclusion."""
         live = ~done & (total > 0)
         hit = live & (count > 0)
         p[hit] += np.log10(count[hit] / (total + distinct)[hit])
@@ -106,26 +114,33 @@ def ppm_group(gram: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         p[miss] += np.log10(distinct[miss] / (total + distinct)[miss])
         done[hit] = True
 
-    contexts, total3, at3 = _sums(gram >> 8, n)
-    seen3 = (n > 0).astype(float)
-    distinct3 = np.bincount(at3, seen3, len(contexts))
-    _, count2, at2 = _sums(symbol, n)  # one context of two bytes here
-    count2 = count2[at2]
-    step(n, total3[at3], distinct3[at3])
-    excluded = np.bincount(at3, count2 * seen3, len(contexts))[at3]
+    longer = None  # of the longer contexts: each gram's context, whether it was seen, the place of each row's context
+    for k in range(ORDER, 1, -1):
+        grams, count, at = _sums(gram & ((1 << 8 * (k + 1)) - 1), n)
+        _, total, context = _sums(grams >> 8, count)
+        seen = (count > 0).astype(float)
+        distinct = np.bincount(context, seen, len(total))
+        gone, fewer = np.zeros(len(gram)), np.zeros(len(gram))
+        if longer:
+            tails, contexts, was_seen, row_context = longer
+            own = count[np.searchsorted(grams, tails)]
+            gone = np.bincount(contexts, own * was_seen, row_context.max(initial=-1) + 1)[row_context]
+            fewer = np.bincount(contexts, was_seen, row_context.max(initial=-1) + 1)[row_context]
+        step(count[at], total[context[at]] - gone, distinct[context[at]] - fewer)
+        longer = grams & ((1 << 8 * k) - 1), context, seen, context[at]
     per_symbol = np.bincount(symbol, n, 256)
-    step(count2, per_symbol.sum() - excluded, (per_symbol > 0).sum() - distinct3[at3])
     before = pairs[int(gram[0] >> 8) & 255] if len(gram) else np.zeros(256)
-    step(before[symbol], np.full(len(gram), before.sum() - before[per_symbol > 0].sum()), np.full(len(gram), (before > 0).sum() - (per_symbol > 0).sum()))
+    every = lambda x: np.full(len(gram), float(x))
+    step(before[symbol], every(before.sum() - before[per_symbol > 0].sum()), every((before > 0).sum() - (per_symbol > 0).sum()))
     single = pairs.sum(axis=0)
-    step(single[symbol], np.full(len(gram), single.sum() - single[before > 0].sum()), np.full(len(gram), (single > 0).sum() - (before > 0).sum()))
+    step(single[symbol], every(single.sum() - single[before > 0].sum()), every((single > 0).sum() - (before > 0).sum()))
     rest = ~done
     p[rest] -= np.log10(np.maximum(1, 256 - (single > 0).sum()))
     return p
 
 
 def gram_values(counts: DataFrame) -> DataFrame:
-    """kind, key, value: log10 probability of each gram."""
+    """key, value: log10 probability of each gram. A group is the grams of one two-byte context, the trie's share below it."""
     grams = counts.where(F.col("kind") == GRAM)
     two = grams.groupBy((F.col("key") % 65536).alias("pair")).agg(F.sum("n").alias("n")).collect()  # at most 65,536 rows
     pairs = np.zeros((256, 256))
@@ -133,64 +148,51 @@ def gram_values(counts: DataFrame) -> DataFrame:
         pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
 
     def values(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"kind": np.int8(GRAM), "key": rows["key"], "value": ppm_group(rows["key"].to_numpy(), rows["n"].to_numpy(), pairs)})
+        gram = rows["key"].to_numpy()
+        return pd.DataFrame({"key": gram_key(gram.view(np.uint64)).view(np.int64), "value": ppm_group(gram, rows["n"].to_numpy(), pairs)})
 
     context = F.shiftright("key", 8) % 65536
-    return grams.select("key", "n", context.alias("context")).groupBy("context").applyInPandas(values, "kind byte, key long, value double")
+    return grams.select("key", "n", context.alias("context")).groupBy("context").applyInPandas(values, "key long, value double")
+
+
+def _keys(part: pa.RecordBatch) -> np.ndarray:
+    t = lowered(part.column("text"))
+    return np.concatenate([words(t).hash, gram_key(byte_grams(t)[0])])
 
 
 def lm_scoring(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per row of docs: held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability by the trie).
 
     Null and empty texts are one end mark. Repeated rows give repeated results. Without training documents the base is
-    log10(1) and the trie uniform. An empty table gives no rows; other columns are ignored.
+    log10(1) and the trie uniform. Texts of any length are scored whole, in one chunk. An empty table gives no rows; other columns
+    are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counts = materialize(counted(rows))
-    n_train, chars = rows.agg(F.sum((~held_out()).cast("bigint")), F.sum(F.length("text"))).first()
-    known, total = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_train = rows.agg(F.sum((~held_out()).cast("bigint"))).first()[0]
+    vocabulary = counts.where((F.col("kind") == WORD) & (F.col("n") > 0))
+    known, total = vocabulary.agg(F.count(F.lit(1)), F.sum("n")).first()
     ends = n_train or 0  # every training document has one end token
     train_tokens, distinct = (total or 0) + ends, known + bool(ends)
-    values = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("kind", "key", F.col("n").cast("double").alias("value"))
-    values = values.unionByName(gram_values(counts))
-    chunks = max(1, -(-(chars or 0) // chunk_chars))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            for c in np.unique(chunk):
-                own = batch.filter(pa.array(chunk == c))
-                t = lowered(own.column("text"))
-                for kind, key in ((WORD, np.unique(words(t).hash).view(np.int64)), (GRAM, np.unique(byte_grams(t)[0]).astype(np.int64))):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), x, d)) for x, d in ((c, np.int32), (kind, np.int8))] + [pa.array(key)], names=["chunk", "kind", "key"])
-
-    asked = dealt.repartition(F.col("chunk")).mapInArrow(ask, "chunk int, kind byte, key long")
-    given = asked.join(values, ["kind", "key"]).select("chunk", "kind", "key", "value")
+    values = vocabulary.select("key", F.col("n").cast("double").alias("value")).unionByName(gram_values(counts))
+    dealt, chunks = deal(rows, chunk_chars)
+    given = answers(dealt, _keys, values, -(-chunks // 2))
     end_value = np.log10(ends + 1)
 
     def score(own: pa.Table, given: pa.Table) -> pa.Table:
-        # A chunk can ask for one key in several batches.
-        kind, key, value = (given.column(c).to_numpy() for c in ("kind", "key", "value"))
-        tables = {}
-        for k in (WORD, GRAM):
-            keys, first = np.unique(key[kind == k], return_index=True)
-            tables[k] = keys, value[kind == k][first]
+        table = received(own, _keys, given)
         out = []
-        for batch in own.combine_chunks().to_batches():
-            for part in slices(batch):
-                t = lowered(part.column("text"))
-                w = words(t)
-                keys, value_of = tables[WORD]
-                c = _look_up(keys, value_of, w.hash.view(np.int64), 0.0)
-                p = _look_up(*tables[GRAM], (g := byte_grams(t))[0].astype(np.int64), 0.0)
-                row = w.rows()
-                n = part.num_rows
-                n_words = np.diff(w.first)
-                sums = np.bincount(row, np.log10(c + 1), n) + end_value
-                hits = np.bincount(row, c > 0, n).astype(np.int64) + bool(ends)
-                total = np.concatenate([[0], np.cumsum(p)])
-                out.append(pa.table([part.column("doc_id"), pa.array(n_words + 1), pa.array(hits), pa.array(sums), pa.array(total[g[1][1:]] - total[g[1][:-1]])], names=["doc_id", "n_tokens", "n_known", "log_sum", "score"]))
+        for part in parts_of(own):
+            t = lowered(part.column("text"))
+            w = words(t)
+            c = table.get(w.hash)
+            gram, bounds = byte_grams(t)
+            p = np.concatenate([[0], np.cumsum(table.get(gram_key(gram)))])
+            row, n = w.rows(), part.num_rows
+            sums = np.bincount(row, np.log10(c + 1), n) + end_value
+            hits = np.bincount(row, c > 0, n).astype(np.int64) + bool(ends)
+            columns = part.column("doc_id"), pa.array(np.diff(w.first) + 1), pa.array(hits), pa.array(sums), pa.array(p[bounds[1:]] - p[bounds[:-1]])
+            out.append(pa.table(list(columns), names=["doc_id", "n_tokens", "n_known", "log_sum", "score"]))
         return pa.concat_tables(out)
 
     scored = dealt.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(score, SCORED)
@@ -203,10 +205,3 @@ def lm_scoring(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
         (F.col("log_sum") - F.col("n_tokens") * float(np.log10(train_tokens + distinct + 1))).alias("base_score"),
         "score",
     )
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)

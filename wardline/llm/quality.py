@@ -1,9 +1,11 @@
 """Quality rules with n-gram perplexity bands.
 
-Counting rules come first. Then a modified Kneser-Ney trigram model over 64 byte classes is counted by Spark over all
-documents, one model per language; a dense table of log probabilities holds it, whose size is fixed (see the README). A document whose perplexity is outside its
-language's band is rejected. The bands are quantiles of the documents of the language that pass the counting rules.
-A model has at most 64**3 grams and there are at most len(languages) + 1 models, so the broadcast is bounded (MODEL_BYTES).
+Counting rules come first. Then a modified Kneser-Ney model of byte ORDER-grams, case and symbols as they are, is counted by Spark
+over all documents, one model for each language that the table has. Its probabilities stand in sorted arrays of gram hashes. A model
+of at most MODEL_ENTRIES grams in all is sent to every task; a larger one stays in parts, and each chunk of documents asks for the
+grams it holds (`_lookup`), with the same results. A document whose perplexity for a byte or for a word is outside its language's
+band is rejected; a band is the median of the language's documents that pass the counting rules, give or take WIDTH times their
+median distance from it.
 """
 
 from __future__ import annotations
@@ -12,30 +14,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._core import SPACES, SYMBOL, Texts, Words, covered, grams, materialize, mix, per_row, run_hash, slices, texts, words
+from ._core import SPACES, Texts, Words, column, covered, grams, materialize, mix, per_row, run_hash, slices, texts, unused, words
+from ._lookup import HashArrays, Tally, answers, deal, parts_of, received
 
-LANGUAGES = ("en", "de", "fr", "es")
 #: The symbols counted by n_symbols.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 WINDOW = 5
 REPEAT_PERCENT = 20
-#: The quantiles, of distances from the language's median, between which a document is kept; the README has what they reject. The mean
-#: of few grams varies more: below BAND_GRAMS grams a distance counts less, as sqrt(grams). A language with few documents rejects none.
-BAND = (0.03, 0.97)
-BAND_GRAMS = 1000
-MIN_GRAMS = 100
-GRAMS = 64**3
-MODEL_BYTES = (len(LANGUAGES) + 1) * GRAMS * 16
-
-STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+ORDER = 4
+#: Half a band, in median distances. The mean over few bytes or words varies more: a distance counts sqrt(1 + FEW / n) times less.
+WIDTH = 6.0
+FEW_BYTES, FEW_WORDS = 1000, 300
+#: A median distance is at least this share of the median, so that a language of a few alike documents has a band too.
+LEAST_SPREAD = 0.004
+#: Grams, of 16 bytes each, up to which the model is broadcast.
+MODEL_ENTRIES = 1 << 22
+CHUNK_CHARS = 24_000_000
+SLICE = 1 << 20
+HELD_GRAMS = 1 << 20
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STATS = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", n_grams long, log10_p double"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _LINE = np.zeros(256, bool)
 _LINE[10] = True
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[SPACES] = 32
 
 
 def counting_rules(t: Texts, w: Words) -> dict[str, np.ndarray]:
@@ -64,128 +73,178 @@ def counting_rules(t: Texts, w: Words) -> dict[str, np.ndarray]:
     }
 
 
-def trigrams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """18-bit trigrams of byte classes (runs of white space are one) and their rows."""
-    sym = SYMBOL[t.data].astype(np.int32)
-    row = np.repeat(np.arange(len(t.offsets) - 1), np.diff(t.offsets))
-    keep = np.ones(len(sym), bool)
-    keep[1:] = (sym[1:] != 0) | (sym[:-1] != 0)
-    sym, row = sym[keep], row[keep]
-    if len(sym) < 3:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    gram, same = sym[:-2] << 12 | sym[1:-1] << 6 | sym[2:], row[:-2] == row[2:]
-    return gram[same], row[:-2][same]
+def byte_grams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte with the ORDER - 1 before it (zeros before a row), as one number, and its row. A run of white space is one space."""
+    data = _PLAIN[t.data]
+    row = np.repeat(np.arange(len(t.offsets) - 1, dtype=np.int32), np.diff(t.offsets))
+    keep = np.ones(len(data), bool)
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32) | (row[1:] != row[:-1])
+    data, row = data[keep], row[keep]
+    gram = data.astype(np.uint64)
+    for k in range(1, ORDER):
+        same = row[k:] == row[:-k]
+        gram[k:][same] |= data[:-k][same].astype(np.uint64) << np.uint64(8 * k)
+    return gram, row
 
 
-def _model_names(languages: tuple[str, ...]):
-    known = F.col("lang").isin(*languages)
-    return F.when(known, F.col("lang")).otherwise(F.lit("other"))
+def model_of(lang: Column) -> Column:
+    """A language's number; null is a language of its own."""
+    return F.xxhash64(lang)
 
 
-def gram_counts(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """model, gram, n over all documents; each task sends its sums only."""
+def gram_keys(gram: np.ndarray, row: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """A hash of gram and language."""
+    return mix(gram + model.view(np.uint64)[row])
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """model, gram, n over all documents; a task sends sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for part in slices(batch):
-                gram, row = trigrams(texts(part.column("text")))
-                name = np.array(part.column("model").to_pylist(), object)
-                for m in set(name):
-                    own = np.bincount(gram[(name == m)[row]], minlength=GRAMS)
-                    total[m] = total[m] + own if m in total else own
-        for m, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([m] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["model", "gram", "n"])
-
-    rows = docs.select("text", _model_names(languages).alias("model")).mapInArrow(count, "model string, gram int, n long")
-    return rows.groupBy("model", "gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    c1, c2, c3, c4 = (max(1, int((n == k).sum())) for k in (1, 2, 3, 4))
-    y = c1 / (c1 + 2 * c2)
-    d = np.array([0, 1 - 2 * y * c2 / c1, 2 - 3 * y * c3 / c2, 3 - 4 * y * c4 / c3])
-    return np.clip(d, [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
-
-
-def _interpolated(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """P(symbol | context) for counts n[context, symbol], with the lower order's P broadcast to the same shape."""
-    d = _discounts(n)[np.minimum(n, 3)]
-    total = n.sum(axis=-1, keepdims=True)
-    left = d.sum(axis=-1, keepdims=True)
-    return np.where(total > 0, (np.maximum(n - d, 0) + left * lower) / np.maximum(total, 1), lower)
-
-
-def kneser_ney(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All grams in order and their log10 probabilities, since smoothing gives each one."""
-    c3 = np.zeros(GRAMS, np.int64)
-    c3[gram] = n
-    c3 = c3.reshape(64, 64, 64)
-    c2 = (c3 > 0).sum(axis=0)  # how many symbols precede each pair
-    c1 = (c2 > 0).sum(axis=0)
-    p1 = _interpolated(c1, np.full(64, 1 / 64))
-    p2 = _interpolated(c2, p1[None, :])
-    p3 = _interpolated(c3, p2[None, :, :])
-    return np.arange(GRAMS, dtype=np.int32), np.log10(p3).astype(np.float32).ravel()
-
-
-def document_stats(docs: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]], languages: tuple[str, ...]) -> DataFrame:
-    """The counts of each document, its model's name, its n_grams and log10 perplexity (null below one gram)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[int, Tally] = {}
+
+        def rows(m: int) -> pa.RecordBatch:
+            gram, n = tallies[m].empty()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), m)), pa.array(gram.view(np.int64)), pa.array(n)], names=["model", "gram", "n"])
+
         for batch in batches:
-            for part in slices(batch):
-                t = texts(part.column("text"))
-                got = counting_rules(t, words(t))
-                gram, row = trigrams(t)
-                name = np.array(part.column("model").to_pylist(), object)
-                p = np.zeros(len(gram))
-                for m in set(name):
-                    own = np.flatnonzero((name == m)[row])
-                    if len(own):  # the keys are all grams in order, so a gram's place in them is the gram itself
-                        p[own] = shared.value[m][1][gram[own]]
-                size = np.bincount(row, minlength=part.num_rows)
-                bits = -np.bincount(row, p, part.num_rows) / np.maximum(size, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(v, pa.int64()) for v in got.values()), part.column("model"), pa.array(size, pa.int64()), pa.array(bits, mask=size == 0)],
-                    names=["doc_id", *got, "model", "n_grams", "log10_perplexity"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _model_names(languages).alias("model"))
-    return rows.mapInArrow(score, f"{STATS}, model string, n_grams long, log10_perplexity double")
-
-
-def quality_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, band: tuple[float, float] = BAND, min_grams: int = MIN_GRAMS) -> DataFrame:
-    """One row per row of docs with the counts, base_failed, log10_perplexity, the band and kept.
-
-    Null and empty texts have no words, so base_failed. Languages not listed, and null, share the model `other`. Below
-    min_grams grams perplexity says little and does not reject. An empty table gives no rows; repeated rows are judged alike.
+            for part in slices(batch, most=SLICE):
+                gram, row = byte_grams(texts(part.column("text")))
+                model = column(part, "model")
+                for m in np.unique(model).tolist():
+                    tallies.setdefault(m, Tally(HELD_GRAMS)).add(*np.unique(gram[(model == m)[row]], return_counts=True))
+                    if tallies[m].full:
+                        yield rows(m)
+            while sum(t.size for t in tallies.values()) > 4 * HELD_GRAMS:  # many languages
+                m = max(tallies, key=lambda m: tallies[m].size)
+                yield rows(m)
+                del tallies[m]
+        for m in list(tallies):
+            yield rows(m)
+
+    counted = docs.select("text", model_of(F.col("lang")).alias("model")).mapInArrow(count, "model long, gram long, n long")
+    return counted.groupBy("model", "gram").agg(F.sum("n").alias("n"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """model, gram, log10_p of all counted grams, by interpolated modified Kneser-Ney. counts: a table of model, gram, n.
+
+    Below the longest grams a count is that of the different bytes that precede. Every step is a grouping or a join by gram, so it
+    holds a model of any size.
+    """
+    level, levels = counts, [counts.select(F.lit(ORDER).alias("k"), "model", "gram", "n")]
+    for k in range(ORDER - 1, 0, -1):
+        level = level.groupBy("model", (F.col("gram") % (1 << 8 * k)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels.append(level.select(F.lit(k).alias("k"), "model", "gram", "n"))
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    every = materialize(every)
+    c = [F.greatest(F.lit(1), F.count_if(F.col("n") == i)).cast("double") for i in (1, 2, 3, 4)]
+    y = c[0] / (c[0] + 2 * c[1])
+    between = lambda x, low, high: F.least(F.lit(high), F.greatest(F.lit(low), x))
+    discounts = every.groupBy("k", "model").agg(
+        between(1 - 2 * y * c[1] / c[0], 0.05, 0.95).alias("d1"), between(2 - 3 * y * c[2] / c[1], 0.1, 1.9).alias("d2"), between(3 - 4 * y * c[3] / c[2], 0.15, 2.85).alias("d3")
+    )
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    context = Window.partitionBy("k", "model", F.shiftright("gram", 8))  # at most 256 rows
+    terms = every.join(discounts, ["k", "model"]).withColumn("d", d)
+    terms = terms.withColumn("total", F.sum("n").over(context)).withColumn("left", F.sum("d").over(context))
+    terms = materialize(terms.select("k", "model", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("share")))
+    p = terms.where("k = 1").select("model", "gram", (F.col("own") + F.col("share") / 256).alias("p"))
+    for k in range(2, ORDER + 1):
+        lower = p.select("model", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        upper = terms.where(F.col("k") == k).withColumn("suffix", F.col("gram") % (1 << 8 * (k - 1)))
+        p = upper.join(lower, ["model", "suffix"]).select("model", "gram", (F.col("own") + F.col("share") * F.col("lower")).alias("p"))
+    return p.select("model", "gram", F.log10("p").alias("log10_p"))
+
+
+def hashed(model: DataFrame) -> DataFrame:
+    """key, value of the model's grams."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = mix(column(b, "gram").view(np.uint64) + column(b, "model").view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("log10_p").cast(pa.float64())], names=["key", "value"])
+
+    return model.mapInArrow(each, "key long, value double")
+
+
+def _keys(part: pa.RecordBatch) -> np.ndarray:
+    return gram_keys(*byte_grams(texts(part.column("text"))), column(part, "model"))
+
+
+def judge(part: pa.RecordBatch, model: HashArrays) -> pa.RecordBatch:
+    """The counts and the model's log10 probability of each row."""
+    t = texts(part.column("text"))
+    got = counting_rules(t, words(t))
+    gram, row = byte_grams(t)
+    p = model.get(gram_keys(gram, row, column(part, "model")))
+    size = np.bincount(row, minlength=part.num_rows)
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc_id"), part.column("lang"), *(pa.array(got[c], pa.int64()) for c in COUNTS), pa.array(size, pa.int64()), pa.array(np.bincount(row, p, part.num_rows).astype(float))],
+        names=["doc_id", "lang", *COUNTS, "n_grams", "log10_p"],
+    )
+
+
+def document_stats(docs: DataFrame, model: DataFrame, entries: int = MODEL_ENTRIES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The counts of each document and its n_grams and log10_p. model: a table of key, value."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), model_of(F.col("lang")).alias("model"))
+    if model.count() <= entries:
+        table = model.toPandas()
+        arrays = HashArrays.of(table["key"].to_numpy().view(np.uint64), table["value"].to_numpy())
+        shared = docs.sparkSession.sparkContext.broadcast(arrays)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, most=SLICE):
+                    yield judge(part, shared.value)
+
+        return rows.mapInArrow(score, STATS)
+
+    dealt, chunks = deal(rows, chunk_chars)
+    given = answers(dealt, _keys, model, -(-chunks // 2))
+
+    def in_chunk(own: pa.Table, given: pa.Table) -> pa.Table:
+        arrays = received(own, _keys, given)
+        return pa.Table.from_batches([judge(part, arrays) for part in parts_of(own)])
+
+    return dealt.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(in_chunk, STATS)
+
+
+def quality_rules(docs: DataFrame, width: float = WIDTH, entries: int = MODEL_ENTRIES) -> DataFrame:
+    """One row per row of docs with the counts, base_failed, kept, the perplexities and their bands.
+
+    Null and empty texts have no words, so base_failed. A null language is one more language. Texts of any length are scored whole.
+    An empty table gives no rows; repeated rows are judged alike; other columns of docs are ignored.
     """
-    counts = gram_counts(docs, languages).toPandas()  # at most GRAMS rows for each of len(languages) + 1 models
-    models = {m: kneser_ney(g["gram"].to_numpy(), g["n"].to_numpy()) for m, g in counts.groupby("model")}
-    stats = materialize(document_stats(docs, models, languages))
+    model = materialize(hashed(kneser_ney(materialize(gram_counts(docs)))))
+    stats = materialize(document_stats(docs, model, entries))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    enough = F.col("n_grams") >= min_grams
-    usual = stats.where(~failed & enough)
-    middle = F.broadcast(usual.groupBy("model").agg(F.percentile_approx("log10_perplexity", 0.5, 10000).alias("middle")))  # a row per model
-    stretch = F.sqrt(1 + F.lit(float(BAND_GRAMS)) / F.greatest("n_grams", F.lit(1)))
-    distance = (F.col("log10_perplexity") - F.col("middle")) / stretch
-    q = [F.percentile_approx(distance, p, 10000) for p in band]
-    bands = usual.join(middle, "model").groupBy("model").agg(F.first("middle").alias("middle"), q[0].alias("below"), q[1].alias("above"))
-    judged = stats.join(F.broadcast(bands), "model", "left")  # a row per model
-    judged = judged.withColumns({"lower": F.col("middle") + stretch * F.col("below"), "upper": F.col("middle") + stretch * F.col("above")})
-    outside = enough & ~distance.between(F.col("below"), F.col("above"))
+    measures = (("byte", "n_grams", FEW_BYTES), ("word", "n_words", FEW_WORDS))
+    at = {name: -F.col("log10_p") / F.greatest(F.col(n), F.lit(1)) for name, n, _ in measures}
+    stretch = {name: F.sqrt(1 + F.lit(float(few)) / F.greatest(F.col(n), F.lit(1))) for name, n, few in measures}
+    stats = stats.withColumns({name: at[name] for name in at})
+    usual = stats.where(~failed)
+    half = lambda c: F.percentile_approx(c, 0.5, 10000)
+    middle = usual.groupBy(F.col("lang").alias("of")).agg(*(half(F.col(name)).alias(f"{name}_middle") for name in at))
+    apart = {name: F.abs(F.col(name) - F.col(f"{name}_middle")) / stretch[name] for name in at}
+    own = F.col("lang").eqNullSafe(F.col("of"))
+    spread = usual.join(middle, own).groupBy("of").agg(*(half(apart[name]).alias(f"{name}_spread") for name in at), *(F.first(f"{name}_middle").alias(f"{name}_middle") for name in at))
+    judged = stats.join(spread, own, "left")  # a row for each language
+    wide = {name: width * F.greatest(F.col(f"{name}_spread"), LEAST_SPREAD * F.col(f"{name}_middle")) * stretch[name] for name in at}
+    bounds = {f"{name}_{side}": F.col(f"{name}_middle") + sign * wide[name] for name in at for side, sign in (("lower", -1), ("upper", 1))}
+    judged = judged.withColumns(bounds)
+    inside = F.col("byte").between(F.col("byte_lower"), F.col("byte_upper")) & F.col("word").between(F.col("word_lower"), F.col("word_upper"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~F.coalesce(outside, F.lit(False))).alias("kept"),
-        "log10_perplexity", F.col("lower").alias("band_lower"), F.col("upper").alias("band_upper"),
+        "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"),
+        F.col("byte").alias("log10_perplexity"), F.col("byte_lower").alias("band_lower"), F.col("byte_upper").alias("band_upper"),
+        F.col("word").alias("log10_word_perplexity"), F.col("word_lower").alias("word_band_lower"), F.col("word_upper").alias("word_band_upper"),
     )
 
 
 def keep_good(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns. Rows with one doc_id share the verdict of the worst."""
-    bad = quality_rules(docs, **parameters).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs that quality_rules keeps, with all their columns, whatever their names. Rows with one doc_id share the verdict of the worst."""
+    name = unused(docs, "id")
+    bad = quality_rules(docs, **parameters).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad[name]), "left_anti")
