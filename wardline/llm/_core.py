@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -34,21 +35,44 @@ LOWER[65:91] += 32
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
+    """The cluster's shared folder; a folder of our own where none is set, in local mode only."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not got and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
         sc.setCheckpointDir(got or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
+_MADE: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a table written to the shared folder, so that a lost executor costs no recomputation."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that no later step reads."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        home = spark._jvm.org.apache.hadoop.fs.Path(path)
+        home.getFileSystem(conf).delete(home, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators make inside are removed at its end; by then their result has to be written."""
+    before = len(_MADE)
+    yield
+    discard(spark, _MADE[before:])
+    del _MADE[before:]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._core import SYMBOL, Texts, slices, texts
+from ._core import SLICE_BYTES, SYMBOL, Texts, slices, texts
 
 FOLDS = 4
 HELD_OUT = 2
@@ -23,8 +23,9 @@ HELD_OUT = 2
 TRAIN_DOCS = 200
 TRAIN_SYMBOLS = 40_000
 CHECK_SYMBOLS = 10_000
-MAX_LANGUAGES = 64
-#: No phrase crosses a line end or runs over so many bytes of a line.
+#: The symbols of all languages together; with more than sixteen languages each gets a smaller share. This bounds the parser.
+ALL_SYMBOLS = 16 * TRAIN_SYMBOLS
+#: No phrase crosses a line end or runs over so many symbols of a line: the parse begins anew there, and every symbol is parsed.
 SEGMENT = 512
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -103,9 +104,10 @@ def count_phrases(sym: np.ndarray, begin: np.ndarray, end: np.ndarray, moves: np
         c = sym[begin[:n] + k].astype(np.int32)
         for x in range(languages):
             s = moves[x].take((state[x, :n] << 6) + c)
-            ended = s == 0
-            count[x, :n] += ended
-            s[ended] = moves[x].take(c[ended])  # the next phrase begins with this symbol
+            ended = np.flatnonzero(s == 0)
+            again = moves[x].take(c[ended])  # the next phrase begins with this symbol, or is this symbol alone if it was never seen
+            count[x, ended] += 1 + ((again == 0) & (state[x, ended] != 0))
+            s[ended] = again
             state[x, :n] = s
     out = np.empty_like(count)
     out[:, order] = count + (state != 0)
@@ -123,12 +125,11 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Parser:
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["h"], r["doc_id"])):
         by.setdefault(r["lang"], []).append(r["text"])
-    if len(by) > MAX_LANGUAGES:
-        raise ValueError(f"{len(by)} languages; at most {MAX_LANGUAGES} are meant")
+    most = min(TRAIN_SYMBOLS, max(64, ALL_SYMBOLS // max(1, len(by))))
     names, moves, checks = tuple(sorted(by)), [], []
     for name in names:
         sym, *_ = segments(texts(pa.array([" ".join(by[name])])))
-        cut = min(TRAIN_SYMBOLS, len(sym) * 4 // 5)
+        cut = min(most, len(sym) * 4 // 5)
         moves.append(automaton_moves(sym[:cut]).ravel())
         checks.append(sym[cut : cut + CHECK_SYMBOLS])
     size = max((len(m) for m in moves), default=64)
@@ -147,14 +148,14 @@ def identify_language(docs: DataFrame, parser: Parser) -> DataFrame:
     """One row per row of docs: lang_pred and a score of 0 to 1, the winner's share against the next best.
 
     `und` (score 0) if the text is null or has no letter, or no language was learned. Ties go to the first name. Repeated
-    rows give repeated results; an empty table none. Only doc_id and text are read.
+    rows give repeated results; an empty table none. Texts of any length are parsed whole. Only doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=max(1 << 16, SLICE_BYTES * 16 // max(16, len(p.languages)))):
                 t = texts(part.column("text"))
                 letters = (t.data | 32) - np.uint8(97) < 26
                 total = np.concatenate([[0], np.cumsum(letters)])

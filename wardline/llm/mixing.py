@@ -2,7 +2,8 @@
 
 Weights propagate through a domain - language - source tree. A child that lacks tokens for its share gives the shortage to
 its siblings in proportion to their weights; only what a whole family lacks goes to the family's own siblings. Each leaf
-then takes whole seeded epochs of its documents and a token prefix of one more.
+then takes whole seeded epochs of its documents and a token prefix of one more. The tree is divided level by level with windows
+over families, so it may have any number of leaves.
 
 A leaf may hold a third of all rows: the place of the prefix's end is found from sums over HASH_BUCKETS ranges of the
 seeded order, and only the rows of the one range in which it falls are ordered.
@@ -16,12 +17,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._core import materialize
+from ._core import materialize, unused
 
 LEVELS = ("domain", "lang", "source")
 HASH_BUCKETS = 1 << 14
-#: Leaves are planned on the driver and the plan is broadcast; more of them are an error.
-MAX_LEAVES = 50_000
+#: Leaves up to which the plan is sent to every task; a larger plan meets the documents in a shuffle.
+BROADCAST_LEAVES = 50_000
 
 
 class Mix(NamedTuple):
@@ -33,42 +34,46 @@ class Mix(NamedTuple):
     seed: int = 17
 
 
-def water_fill(amount: float, weights: list[float], capacity: list[float]) -> list[float]:
-    """Shares of amount in proportion to weights, none over its capacity; what one can't take goes to the others."""
-    share = [0.0] * len(weights)
-    open_ = [i for i, w in enumerate(weights) if w > 0 and capacity[i] > 0]
-    left = min(amount, sum(capacity[i] for i in open_))
-    while open_ and left > 0:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if capacity[i] <= unit * weights[i]]
-        if not full:
-            for i in open_:
-                share[i] = unit * weights[i]
-            break
-        for i in full:
-            share[i] = capacity[i]
-            left -= capacity[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return share
-
-
-def leaf_budgets(tokens: Mapping[tuple[str, ...], int], mix: Mix) -> dict[tuple[str, ...], float]:
-    """Tokens to take from each leaf."""
-    out: dict[tuple[str, ...], float] = {}
-
-    def capacity(prefix: tuple[str, ...]) -> float:
-        return mix.max_epochs * sum(n for leaf, n in tokens.items() if leaf[: len(prefix)] == prefix)
-
-    def divide(prefix: tuple[str, ...], amount: float) -> None:
-        if prefix in tokens and len(prefix) == len(LEVELS):
-            out[prefix] = amount
-            return
-        names = sorted({leaf[: len(prefix) + 1] for leaf in tokens if leaf[: len(prefix)] == prefix})
-        for name, share in zip(names, water_fill(amount, [mix.weights.get(n, 1.0) for n in names], [capacity(n) for n in names]), strict=True):
-            divide(name, share)
-
-    divide((), mix.budget * sum(tokens.values()))
-    return out
+def water_fill(children: DataFrame, family: list[str], name: str) -> DataFrame:
+    """Adds share: the family's amount in proportion to weight, none over its capacity; what one can't take goes to the others.
+
+    children: family, name, weight, capacity (0 where weight is 0), amount (the same in a family). In the order of capacity for a
+    unit of weight the first children are full; the level of the first that is not gives the rest their shares.
+    """
+    every = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
+    order = every.orderBy("ratio", name)
+    left = F.least(F.col("amount"), F.sum("capacity").over(every))
+    out = children.withColumn("ratio", F.when((F.col("weight") > 0) & (F.col("capacity") > 0), F.col("capacity") / F.col("weight")))
+    out = out.withColumn("left", left)
+    taken = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    weight = F.sum(F.when(F.col("ratio").isNotNull(), F.col("weight"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = out.withColumn("level", (F.col("left") - taken) / weight)
+    short = F.when(F.col("level") < F.col("ratio"), F.struct("ratio", name, "level"))
+    out = out.withColumn("first", F.min(short).over(every)["level"])
+    full = F.col("first").isNull() | (F.col("level") >= F.col("ratio"))
+    share = F.when(F.col("ratio").isNull(), 0.0).when(full, F.col("capacity")).otherwise(F.col("first") * F.col("weight"))
+    return out.withColumn("share", share).drop("ratio", "left", "level", "first")
+
+
+def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
+    """leaves (domain, lang, source, n tokens) with share: the tokens to take from each."""
+    spark = leaves.sparkSession
+    tree = leaves.withColumn("capacity", F.col("n").cast("double") * mix.max_epochs)
+    levels = []
+    for k in (3, 2, 1):
+        path = list(LEVELS[:k])
+        rows = [(*p, float(w)) for p, w in mix.weights.items() if len(p) == k]
+        given = F.broadcast(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in path) + ", weight double"))  # as large as the mix that the caller wrote
+        nodes = tree.groupBy(*path).agg(F.sum("capacity").alias("capacity")).join(given, path, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        tree = nodes.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0.0))
+        levels.append(materialize(tree))
+    total = leaves.agg(F.sum("n")).first()[0] or 0
+    above = None
+    for k, nodes in zip((1, 2, 3), reversed(levels), strict=True):
+        family = list(LEVELS[: k - 1])
+        nodes = nodes.withColumn("amount", F.lit(mix.budget * total)) if above is None else nodes.join(above, family)
+        above = water_fill(nodes, family, LEVELS[k - 1]).select(*LEVELS[:k], F.col("share").alias("amount"))
+    return leaves.join(above.withColumnRenamed("amount", "share"), list(LEVELS))
 
 
 def default_domain() -> Column:
@@ -77,55 +82,57 @@ def default_domain() -> Column:
     return F.when(number != "", F.concat(F.lit("d"), (number.cast("int") % 4).cast("string"))).otherwise(F.lit("d-"))
 
 
-def _leaf(domain: Column) -> list[Column]:
-    return [domain.alias("__domain"), F.coalesce("lang", F.lit("")).alias("__lang"), F.coalesce("source", F.lit("")).alias("__source")]
+class Taken(NamedTuple):
+    """Names of the columns that mix_sources adds: `__domain`, `__tokens` and `__epoch`, with more underscores if docs has them."""
+
+    domain: str
+    tokens: str
+    epoch: str
 
 
-LEAF = ["__domain", "__lang", "__source"]
+def taken_columns(docs: DataFrame) -> Taken:
+    return Taken(*(unused(docs, f"__{c}") for c in Taken._fields))
 
 
 def mix_sources(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFrame:
-    """The rows of docs that the mix takes, with all their columns and __domain, __tokens, __epoch (0, 1, ... for a row taken again).
+    """The rows of docs that the mix takes, with all their columns and those of taken_columns: the domain, the tokens, the epoch (0, 1, ... for a row taken again).
 
-    Tokens are words `[^\\x20\\x09-\\x0D]+`. mix.budget is a share of all tokens. Null lang or source is a leaf named "". Documents
-    without words cost nothing and come with the epochs of their leaf. Rows with one doc_id stay together in the order; an empty
-    table gives no rows.
+    Tokens are words `[^\\x20\\x09-\\x0D]+`. mix.budget is a share of all tokens; no leaf exceeds its share. Null lang or source is a
+    leaf named "". Null ids and texts are rows like others, and so are rows that repeat an id or whole rows: each is taken or left on its own.
+    Documents without words cost nothing and come with the epochs of their leaf. An empty table gives no rows.
     """
     domain = default_domain() if domain is None else domain
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    small = materialize(docs.select(F.col("doc_id").alias("__id"), *_leaf(domain), words.alias("__tokens")))
-    leaves = small.groupBy(*LEAF).agg(F.sum("__tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError(f"over {MAX_LEAVES} leaves")
-    spark = docs.sparkSession
-    tokens = {tuple(r[c] for c in LEAF): r["n"] for r in leaves}
-    plan = []
-    for leaf, amount in leaf_budgets(tokens, mix).items():
-        full = int(amount // tokens[leaf]) if tokens[leaf] else mix.max_epochs
-        plan.append((*leaf, full, int(amount - full * tokens[leaf]) if full < mix.max_epochs else 0))
-    planned = spark.createDataFrame(plan, "__domain string, __lang string, __source string, __full int, __rest long")
-
-    def ordered(df: DataFrame, id_col: str) -> DataFrame:
-        h = F.xxhash64(F.lit(mix.seed), F.col("__full"), F.col(id_col))
-        return df.withColumn("__h", h).withColumn("__bucket", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(HASH_BUCKETS)).cast("int"))
-
-    keyed = ordered(small.join(F.broadcast(planned), LEAF), "__id")
-    before = Window.partitionBy(*LEAF).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = keyed.groupBy(*LEAF, "__bucket", "__rest").agg(F.sum("__tokens").alias("n"))
-    sums = sums.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    leaf = [domain.alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")]
+    mark = F.xxhash64("doc_id", "text").alias("mark")
+    small = materialize(docs.select(*leaf, mark, words.alias("tokens")))
+    leaves = materialize(small.groupBy(*LEVELS).agg(F.sum("tokens").alias("n")))
+    planned = leaf_budgets(leaves, mix)
+    full = F.when(F.col("n") > 0, F.floor(F.col("share") / F.col("n"))).otherwise(mix.max_epochs).cast("int")
+    planned = planned.withColumn("full", full).withColumn("rest", F.when(F.col("full") < mix.max_epochs, F.floor(F.col("share") - F.col("full") * F.col("n"))).otherwise(0).cast("bigint"))
+    planned = materialize(planned.select(*LEVELS, "full", "rest"))
+    sent = F.broadcast if planned.count() <= BROADCAST_LEAVES else lambda df: df
+
+    def ordered(df: DataFrame) -> DataFrame:
+        df = df.withColumn("h", F.xxhash64(F.lit(mix.seed), "full", "mark"))
+        return df.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(HASH_BUCKETS)).cast("int"))
+
+    keyed = ordered(small.join(sent(planned), list(LEVELS)))
+    before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("tokens").alias("n"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # The first range that the prefix can't take whole; without one, the whole epoch is within the rest.
-    cross = sums.where(F.col("__before") + F.col("n") > F.col("__rest")).groupBy(*LEAF).agg(F.min(F.struct("__bucket", "__before")).alias("x"))
-    ends = planned.join(cross, LEAF, "left").select(*LEAF, "__full", "__rest", F.coalesce("x.__bucket", F.lit(HASH_BUCKETS)).alias("__cross"), F.coalesce("x.__before", F.lit(0)).alias("__before"))
-    ends = F.broadcast(spark.createDataFrame(ends.collect(), ends.schema))
-
-    inside = ordered(small.join(ends, LEAF), "__id").where("__bucket = __cross")
-    upto = Window.partitionBy(*LEAF).orderBy("__h", "__id", "__tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = inside.withColumn("__upto", F.sum("__tokens").over(upto)).where(F.col("__before") + F.col("__upto") <= F.col("__rest"))
-    last = last.groupBy("__id").agg(F.lit(1).alias("__one"))
-
-    rows = ordered(docs.select(F.col("doc_id").alias("__id"), F.struct("*").alias("__row"), *_leaf(domain), words.alias("__tokens")).join(ends, LEAF), "__id")
-    certain = rows.withColumn("__copies", F.col("__full") + (F.col("__bucket") < F.col("__cross")).cast("int"))
-    added = rows.where("__bucket = __cross").join(last, "__id", "left_semi").withColumn("__copies", F.lit(1))
-    out = certain.where("__copies > 0").select("__row", "__domain", "__tokens", F.explode(F.expr("sequence(0, __copies - 1)")).alias("__epoch"))
-    out = out.unionByName(added.select("__row", "__domain", "__tokens", F.col("__full").alias("__epoch")))
-    return out.select("__row.*", "__domain", "__tokens", "__epoch")
+    cross = sums.where(F.col("before") + F.col("n") > F.col("rest")).groupBy(*LEVELS).agg(F.min(F.struct("bucket", "before")).alias("x"))
+    ends = planned.join(cross, list(LEVELS), "left")
+    ends = materialize(ends.select(*LEVELS, "full", "rest", F.coalesce("x.bucket", F.lit(HASH_BUCKETS)).alias("cross"), F.coalesce("x.before", F.lit(0)).alias("before")))
+
+    rows = ordered(docs.select(F.struct("*").alias("row"), *leaf, mark, words.alias("tokens")).join(sent(ends), list(LEVELS)))
+    taken = taken_columns(docs)
+    last = [F.col("domain").alias(taken.domain), F.col("tokens").alias(taken.tokens), F.col("epoch").alias(taken.epoch)]
+    whole = rows.withColumn("copies", F.col("full") + (F.col("bucket") < F.col("cross")).cast("int")).where("copies > 0")
+    whole = whole.withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)"))).select("row", *last)
+    # Only the rows of the one range: whole rows go through the window, since no key tells repeated rows apart.
+    upto = Window.partitionBy(*LEVELS).orderBy("h", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = rows.where("bucket = cross").withColumn("upto", F.sum("tokens").over(upto)).where("before + upto <= rest")
+    part = part.withColumn("epoch", F.col("full")).select("row", *last)
+    return whole.unionByName(part).select("row.*", *taken)

@@ -27,8 +27,10 @@ TOKENS = 4096
 END_ID = 1
 BUCKET_PIECES = 8192
 CACHE_ENTRIES = 400_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: place: a piece's number among those of its task, which tells repeated rows apart.
+PIECES = PIECE + ", place long"
+PACKED = PIECE + ", sequence_id long, offset long"
 
 #: The pre-tokenizer pattern of the vocabulary file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -105,6 +107,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
+        place = 0
         for batch in batches:
             for part in slices(batch):
                 ids = [x or "" for x in part.column("text").to_pylist()]
@@ -113,10 +116,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end_id: i
                     got += end
                     for k, at in enumerate(range(0, len(got), 4 * most)):
                         piece = got[at : at + 4 * most]
-                        rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+                        rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), place))
+                        place += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "place"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, PIECES)
@@ -162,19 +166,20 @@ def pack_pieces(pieces: DataFrame, limits: Limits = Limits(), bucket_pieces: int
     buckets = max(1, -(-pieces.count() // bucket_pieces))
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
+        rows = rows.sort_values(["doc_id", "piece", "ids_crc32", "place"], kind="stable")
         bins, rows["offset"] = best_fit(rows["length"].to_numpy(), limits)
         rows["sequence_id"] = (int(key[0]) << 32) + bins
-        return rows.drop(columns="bucket")
+        return rows.drop(columns=["bucket", "place"])
 
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "place"), F.lit(buckets)).cast("int"))
     return dealt.groupBy("bucket").applyInPandas(fill, PACKED)
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, limits: Limits = Limits()) -> DataFrame:
     """Packs every document into sequences of at most limits.tokens tokens; one row per piece.
 
-    Only documents longer than that are cut. Null and empty texts are one end token; repeated rows are packed as often
-    as they come; an empty table gives no rows; other columns are ignored.
+    Only documents longer than that are cut. Null and empty texts are one end token; a very long text is as many pieces as it takes.
+    Repeated rows and rows that repeat an id or have none are packed as often as they come. Pieces of one length go by id, piece and
+    content; an empty table gives no rows; other columns are ignored.
     """
     return pack_pieces(materialize(token_pieces(docs, vocabulary, limits.tokens)), limits)

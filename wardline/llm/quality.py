@@ -246,5 +246,5 @@ def quality_rules(docs: DataFrame, width: float = WIDTH, entries: int = MODEL_EN
 def keep_good(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns, whatever their names. Rows with one doc_id share the verdict of the worst."""
     name = unused(docs, "id")
-    bad = quality_rules(docs, **parameters).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    bad = materialize(quality_rules(docs, **parameters).where("not kept").select(F.col("doc_id").alias(name)).distinct())
     return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad[name]), "left_anti")

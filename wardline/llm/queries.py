@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .language_id import language_id
 from .license_scan import license_scan
 from .lm_scoring import lm_scoring
-from .mixing import Mix, mix_sources
+from .mixing import Mix, mix_sources, taken_columns
 from .ngram_join import ngram_jaccard_join
 from .packing import best_fit_packing
 from .quality import quality_rules
@@ -33,8 +34,8 @@ def vocabulary() -> str:
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    out = mix_sources(docs, MIX)
-    return out.select("doc_id", out["__domain"].alias("domain"), "lang", "source", out["__epoch"].alias("epoch"), out["__tokens"].alias("n_tokens"))
+    taken = taken_columns(docs)
+    return mix_sources(docs, MIX).select("doc_id", F.col(taken.domain).alias("domain"), "lang", "source", F.col(taken.epoch).alias("epoch"), F.col(taken.tokens).alias("n_tokens"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
