@@ -142,6 +142,112 @@ def test_html_rows(spark):
     assert got[1] == "A & B\n\nOne two bold\n\nThree" and got[2] == got[3] == ""
 
 
+def field():
+    from wardline.llm.html_extract import default_field
+
+    return default_field()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p class="a>Hello there all.', "Hello there all."),
+        ("<p title='it's>Broken quotes, but text.</p><p>More.</p>", "Broken quotes, but text.\n\nMore."),
+        ("<body><p>One plain paragraph of words here.</p></body>", "One plain paragraph of words here."),
+        ("just text, no markup &amp; all", "just text, no markup & all"),
+        ("<div>" * 3000 + "Deep text of a page, here." + "</div>" * 3000, "Deep text of a page, here."),
+        ("<nav><a href='/'>Home</a></nav><p>Main text, with a comma.</p><footer>All rights reserved.</footer>", "Main text, with a comma."),
+        ("<article><p>a <b>b</b>\n c<script>no()</script></p><!-- <p>no</p> --><p>d&nbsp;e<p>f<img alt='x > y'>g</article", "a b c\n\nd e\n\nfg"),
+        ("<article><p>one</p></article", "one"),
+        ("<article><p>" + "long text, " * 50_000 + "</p></article>", ("long text, " * 50_000).strip()),
+        ("<p>" * 20_000 + "<nav>x</nav", ""),
+    ],
+)
+def test_html_of_awkward_pages(page, text):
+    from wardline.llm.html_extract import main_text
+
+    assert main_text(page, field()) == text
+
+
+def test_html_equals_the_article_of_given_pages():
+    """The given pages have one article each, which a plain reading of the element finds."""
+    import duckdb
+
+    from wardline.llm.html_extract import leaf_blocks, main_text
+
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        assert main_text(page, field()) == "\n\n".join(b.text for b in leaf_blocks(page) if "article" in b.ancestors)
+
+
+def test_viterbi_is_the_best_labelling():
+    """Against all labellings of short pages."""
+    import itertools
+
+    from wardline.llm.html_extract import features
+
+    f = field()
+    for page in labelled_pages(40, 12):
+        blocks = [b for b, _ in page][:8]
+
+        def total(y, blocks=blocks):
+            return sum(f.weights.get(x, (0.0, 0.0))[k] for b, k in zip(blocks, y) for x in features(b)) + sum(f.moves[a, b] for a, b in zip((2, *y), y))
+
+        best = max(itertools.product((0, 1), repeat=len(blocks)), key=total)
+        assert total(tuple(viterbi(blocks, f))) == pytest.approx(total(best))
+
+
+def test_license_scan_by_brute_force(spark):
+    """Base places by a search at every word; chains by trying all of them; whole texts and identifiers give their labels."""
+    from wardline.llm.license_scan import PHRASES, TEMPLATES
+
+    rng = __import__("random").Random(6)
+    vocabulary = "the mit license gnu general public apache cc by is of under software x y".split()
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += [t.upper() for _, t in TEMPLATES] + ["SPDX-License-Identifier: MIT", "spdx license identifier", None, "", "GNU-General\tPublic\nLicense!", "a " * 30_000 + "mit license"]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        places = [(k, label) for phrase, label in PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        want = (len(w), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None), ",".join(sorted({x for _, x in places})))
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want
+        assert set(got[i].base_labels.split(",")) - {""} <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
+    for k, (label, _) in enumerate(TEMPLATES):
+        assert label in got[150 + k].labels.split(",") and got[150 + k].score == 1
+    at = 150 + len(TEMPLATES)
+    assert got[at].labels == "mit" and got[at + 1].labels == ""
+
+
+def test_matching_statistics():
+    """Every maximal match is found: the longest run of template words that ends at each word where it can't go on."""
+    from wardline.llm.license_scan import Found, compile_licences, matching_statistics
+
+    rng = __import__("random").Random(3)
+    words = list("abcd")
+    templates = tuple(("t", " ".join(rng.choice(words) for _ in range(25))) for _ in range(4))
+    made = compile_licences({}, templates)
+    ids = {w: k for k, w in enumerate(sorted({w for _, t in templates for w in t.split()}))}
+    for _ in range(30):
+        text = [rng.choice(words) for _ in range(40)]
+        found = Found([], [])
+        matching_statistics([ids[w] for w in text], 0, made, found)
+        want = set()
+        for t, (_, template) in enumerate(templates):
+            own = template.split()
+            for i in range(len(text)):
+                for p in range(len(own)):
+                    n = 0
+                    while i + n < len(text) and p + n < len(own) and text[i + n] == own[p + n]:
+                        n += 1
+                    if n >= 3:
+                        want.add((t, p, i, n))
+        longest = {}
+        for t, p, i, n in want:
+            longest[i + n] = max(longest.get(i + n, 0), n)
+        assert set(found.matches) <= {(t, p + d, i + d, n - d) for t, p, i, n in want for d in range(n)} and {(i + n, n) for _, _, i, n in found.matches} <= {(e, n) for e, n in longest.items()} | {(i + n - d, n - d) for _, _, i, n in want for d in range(n)}
+        covered = {k for _, _, i, n in found.matches for k in range(i, i + n)}
+        assert covered == {k for _, _, i, n in want for k in range(i, i + n)}
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}

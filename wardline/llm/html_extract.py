@@ -12,6 +12,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES = 120
+TRAINING_PAGES = 200
 STEPS = 100
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -33,8 +34,13 @@ RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "obje
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: A quoted value ends where a tag may go on; where quotes don't pair up, the tag ends at the next > all the same.
+_ATTRIBUTES = r"""((?:"[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[^>"'])*+(?=>|\Z)|[^>]*)"""
+#: Elements that tell nothing of what they hold, and words of notices, forms and menus.
+PLAIN = frozenset("html body div p span center font table tbody tr td pre blockquote h1 h2 h3 ul ol li".split())
+NOTICE_WORDS = frozenset("cookie cookies copyright rights reserved privacy terms policy subscribe newsletter login log sign share tweet follow advertisement sponsored comment comments reply menu home search related read more click".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRIBUTES + r"(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -42,16 +48,52 @@ _PART = re.compile(r"[a-z]+")
 
 
 class Block(NamedTuple):
+    """ancestors and names: each once, whatever the depth."""
+
     text: str
+    parent: str
     ancestors: tuple[str, ...]
     names: tuple[str, ...]
     linked: int
 
 
+class _Open:
+    """The open elements. Counts, so that a block costs no walk up a deep page."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.tags: Counter[str] = Counter()
+        self.names: Counter[str] = Counter()
+        self.known: tuple[tuple[str, ...], tuple[str, ...]] | None = ((), ())
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.stack.append((tag, names))
+        if not self.tags[tag] or any(not self.names[n] for n in names):
+            self.known = None
+        self.tags[tag] += 1
+        self.names.update(names)
+
+    def close(self, names: tuple[str, ...]) -> None:
+        """Closes the innermost element of these names and what is open in it."""
+        while any(self.tags[n] for n in names):
+            tag, own = self.stack.pop()
+            self.tags[tag] -= 1
+            self.names.subtract(own)
+            self.known = None
+            if tag in names:
+                return
+
+    def above(self) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        if self.known is None:
+            self.tags, self.names = +self.tags, +self.names
+            self.known = tuple(self.tags), tuple(self.names)
+        return self.known
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks in page order; character references are decoded and white space runs are one space."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     parts: list[str] = []
     links = linked = 0
 
@@ -60,7 +102,7 @@ def leaf_blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            blocks.append(Block(text, tuple(t for t, _ in stack), tuple(n for _, ns in stack for n in ns), linked))
+            blocks.append(Block(text, open_.stack[-1][0] if open_.stack else "-", *open_.above(), linked))
         linked = 0
 
     def text(raw: str) -> None:
@@ -69,12 +111,6 @@ def leaf_blocks(page: str) -> list[Block]:
         parts.append(got)
         linked += len(got) * (links > 0)
 
-    def close(names: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -93,15 +129,15 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         end()
         if m[2]:
-            close((tag,))
+            open_.close((tag,))
         else:
-            if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-                close(("p",))
-            if tag in CLOSES_SELF:
-                close(CLOSES_SELF[tag]) if stack and stack[-1][0] in CLOSES_SELF[tag] else None
+            if tag in CLOSES_P:
+                open_.close(("p",))
+            if tag in CLOSES_SELF and open_.stack and open_.stack[-1][0] in CLOSES_SELF[tag]:
+                open_.close(CLOSES_SELF[tag])
             if tag not in VOID and not (m[4] or "").endswith("/"):
                 names = [p for x in _NAMED.findall(m[4] or "") for p in _PART.findall("".join(x).lower())]
-                stack.append((tag, tuple(names)))
+                open_.push(tag, tuple(names))
     if at < len(page):
         text(page[at:])
     end()
@@ -109,14 +145,27 @@ def leaf_blocks(page: str) -> list[Block]:
 
 
 def features(b: Block) -> list[str]:
+    """Where the block stands, and what its text looks like: length, links, ending, capitals, commas, signs, and words that notices use."""
     size = len(b.text)
-    out = ["bias", f"size{min(6, int(math.log2(size + 1)) // 2)}", f"link{min(3, 4 * b.linked // max(1, size))}", "parent:" + (b.ancestors[-1] if b.ancestors else "-")]
-    out += {"in:" + t for t in b.ancestors}
-    out += {"name:" + n for n in b.names}
+    out = ["bias", f"size{min(6, int(math.log2(size + 1)) // 2)}", f"link{min(3, 4 * b.linked // max(1, size))}", "parent:" + b.parent]
+    out += ["in:" + t for t in b.ancestors]
+    out += ["name:" + n for n in b.names]
+    if not b.names and set(b.ancestors) <= PLAIN:
+        out.append("plain")
+    words = b.text.split(" ")
+    out.append(f"words{min(5, len(words).bit_length())}")
     if b.text[-1] in ".!?":
         out.append("stop")
+    if b.text[0].isupper():
+        out.append("capital")
+    if "," in b.text:
+        out.append("comma")
+    if "|" in b.text:
+        out.append("bar")
     if "©" in b.text:
         out.append("copyright")
+    if len(words) <= 40:
+        out += ["word:" + w for w in {w.strip(".,:!?").lower() for w in words} & NOTICE_WORDS]
     return out
 
 
@@ -142,13 +191,32 @@ NAMES = {
 }
 
 
+#: What such parts say, in the labelled pages.
+SAID = {
+    "nav": ("Home", "Menu", "Search"),
+    "header": ("Log in", "Sign up"),
+    "footer": ("All rights reserved.", "Privacy policy", "Terms"),
+    "aside": ("Related", "Read more"),
+    "notice": ("We use cookies.", "Subscribe to our newsletter!"),
+    "ad": ("Advertisement", "Sponsored"),
+    "form": ("Search", "Login"),
+    "comments": ("Comments", "Reply"),
+    "share": ("Share", "Tweet", "Follow"),
+}
+
+
 def labelled_pages(count: int = TRAINING_PAGES, seed: int = 5) -> list[list[tuple[Block, int]]]:
     """Pages from seeded layouts; a block is labelled by a mark in its text, which is then taken out."""
     r = random.Random(seed)
 
     def words(n: int) -> str:
         style = r.choice(["{}", "{}", "{} |", "{}###", "{}***"])
-        return " ".join(style.format("".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3)))) for _ in range(n)) + r.choice([".", ".", "", "!"])
+        made = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3))) for _ in range(n)]
+        if made and r.random() < 0.7:
+            made[0] = made[0].capitalize()
+        if n > 4 and r.random() < 0.6:
+            made[n // 2] += ","
+        return " ".join(style.format(w) for w in made) + r.choice([".", ".", "", "!"])
 
     def name(kind: str) -> str:
         return f' {r.choice(["class", "id"])}="{r.choice(NAMES[kind])}{r.choice(["", "", "-box", "_1", " block"])}"'
@@ -171,6 +239,8 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 5) -> list[list[tupl
             "comments": lambda: f"<h3>{words(2)}</h3>" + "".join(f"<div{name('comments')}>{paragraphs('', 1, 2)}</div>" for _ in range(r.randint(1, 4))),
             "share": lambda: links(3, "span"),
         }[kind]()
+        if r.random() < 0.4:
+            inner = f"<{(tag := r.choice(['p', 'span', 'h3']))}>{r.choice(SAID[kind])} {words(r.choice([0, 2, 9]))}</{tag}>" + inner
         own = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         tag = own if own and r.random() < 0.7 else r.choice(["div", "section", "aside" if kind in ("ad", "comments") else "div"])
         return f"<{tag}{name(kind) if tag != own or r.random() < 0.4 else ''}>{inner}</{tag}>"
@@ -188,7 +258,16 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 5) -> list[list[tupl
         whole = f"<html><head><title>{words(4)}</title></head><body>" + "".join(map(boilerplate, kinds)) + body + "".join(map(boilerplate, after)) + "</body></html>"
         return [(b._replace(text=b.text.replace("\x01", "") or "x"), int("\x01" in b.text)) for b in leaf_blocks(whole)]
 
-    return [page() for _ in range(count)]
+    def plain() -> list[tuple[Block, int]]:
+        """A page of text alone: paragraphs in the body or deep in elements without names, or no markup at all."""
+        deep = r.choice([0, 0, 1, 3, 8])
+        inside = r.choice([lambda: paragraphs("\x01", 1, 4), lambda: "\x01" + words(r.choice([3, 20, 60])), lambda: f"<h1>\x01{words(4)}</h1>" + paragraphs("\x01", 1, 3)])()
+        whole = r.choice(["<html><body>{}</body></html>", "<body>{}", "{}", "<html><head><title>t</title></head><body>{}</body></html>"]).format("<div>" * deep + inside + "</div>" * deep)
+        if r.random() < 0.3:
+            whole = boilerplate(r.choice(["nav", "header", "notice"])) + whole
+        return [(b._replace(text=b.text.replace("\x01", "") or "x"), int("\x01" in b.text)) for b in leaf_blocks(whole)]
+
+    return [plain() if k % 5 == 4 else page() for k in range(count)]
 
 
 def _lattice(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -281,7 +360,8 @@ def main_text(page: str, field: Field) -> str:
 def html_extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """One row per row of pages: page_id, url, text (blocks of main text joined by two line ends; empty if none), n_chars.
 
-    Null and empty html give an empty text. A page that breaks off, unclosed elements and unknown ones are read as far as they go.
+    Null and empty html give an empty text. A page that breaks off, unclosed elements and unknown ones are read as far as they go, and a
+    tag ends at its >, even where its quotes don't pair up. Very long and very deep pages are read whole. Equal scores go to the rest.
     Repeated rows give repeated results; an empty table none; other columns are ignored.
     """
     trained = field or default_field()

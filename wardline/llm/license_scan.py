@@ -38,10 +38,26 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "this work is licensed under cc by 4 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library if not see https www gnu org licenses"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program if not see https www gnu org licenses"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0"),
+    *((label, f"spdx license identifier {words}") for label, words in (("mit", "mit"), ("apache", "apache 2 0"), ("gpl", "gpl 2 0 only"), ("gpl", "gpl 2 0 or later"), ("gpl", "gpl 3 0 only"), ("gpl", "gpl 3 0 or later"), ("lgpl", "lgpl 2 1 only"), ("lgpl", "lgpl 2 1 or later"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"), ("mpl", "mpl 2 0"), ("cc-by", "cc by 4 0"), ("zlib", "zlib"), ("unlicense", "unlicense"))),
 )
 
 MIN_MATCH = 3
 MIN_COVER = 0.7
+#: A template of so few words must be there whole.
+SHORT = 8
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:int,last_word:int,cover:double>>"
 
 
@@ -181,7 +197,7 @@ def chains(matches: list[tuple[int, int, int, int]], sizes: list[int]) -> list[t
                     got, start = best[j][0] + n - over, best[j][1]
             best.append((got, start))
         for (word, _, n), (got, start) in zip(own, best, strict=True):
-            if got >= MIN_COVER * sizes[t] and got >= min(MIN_MATCH, sizes[t]):
+            if got >= (MIN_COVER * sizes[t] if sizes[t] > SHORT else sizes[t]):
                 out.append((t, start, word + n - 1, min(1.0, got / sizes[t])))
     return out
 
@@ -208,7 +224,8 @@ def license_scan(docs: DataFrame, licences: Licences | None = None) -> DataFrame
     """One row per row of docs: the base phrases' places and labels, the method's labels, its spans and a score.
 
     score is the largest share of a template or base phrase that a span covers, 0 if there is none. Null and empty texts
-    have no words and no labels ("" and null places). Repeated rows give repeated results; an empty table none; other columns are ignored.
+    have no words and no labels ("" and null places). Texts of any length are walked whole. Of spans that tie every one is given, in
+    order of their words, and labels are a set. Repeated rows give repeated results; an empty table none; other columns are ignored.
     """
     compiled = licences or compile_licences()
 

@@ -43,7 +43,7 @@ class Limits(NamedTuple):
     tokens: int = TOKENS
     documents: int = TOKENS
     attention: int = TOKENS * TOKENS
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
 
