@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, exact dedup, near-duplicate dedup, mixing, packing.
 
-Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of documents.
+Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of documents, whatever
+else docs has. Null ids, null, empty and very long texts, ties and repeated rows are as each operator's docstring says; an empty table
+gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -9,36 +11,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm._core import checkpoint_dir
+from wardline.llm._core import checkpoint_dir, discard, scratch
 from wardline.llm.exact_dedup import keep_first_copies
 from wardline.llm.mixing import Mix, mix_sources
 from wardline.llm.ngram_join import keep_one_of_each
-from wardline.llm.packing import best_fit_packing
+from wardline.llm.packing import Limits, best_fit_packing
 from wardline.llm.quality import keep_good
 from wardline.llm.queries import DOMAINS, vocabulary
 
 #: Four fifths of the tokens, at most two epochs of a leaf.
 MIX = Mix({**{(d,): w for d, w in DOMAINS.items()}, **{(d, "en"): 2.0 for d in DOMAINS}}, budget=0.8, max_epochs=2)
+#: At most 64 documents share a sequence.
+LIMITS = Limits(documents=64)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
     return keep_good(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each normalised text, that of the smallest id."""
     return keep_first_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word shingle sets of similarity 0.8 or more, that of the smallest id."""
     return keep_one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mix_sources(docs, MIX).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing(docs, vocabulary())
+    """Pieces of all documents with their sequences."""
+    return best_fit_packing(docs, vocabulary(), LIMITS)
 
 
 STAGES = [
@@ -49,14 +58,20 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Perplexity, links and packing are beyond SQL; no test holds the whole pipeline against brute force yet.
+#: Perplexity, links and packing are beyond SQL; tests/llm hold each stage and run() against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Tables that a stage made on its way, and its input, are removed once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            discard(spark, [last])
+        docs, last = spark.read.parquet(path), path
     return docs
