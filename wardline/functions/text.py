@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Patterns and character sets of the matching rules.
 WS = r"[\s\x1c-\x1f]"
@@ -21,6 +23,11 @@ PERCENT_BLOB = r"(?iu)%[0-9A-Za-z./:_#@%-]{7,}"
 NOT_HEX = r"%(?![0-9A-Fa-f]{2})"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
@@ -32,6 +39,17 @@ def nfkc(c: Column) -> Column:
     return F.when(ascii_, c).otherwise(_nfkc(F.when(~ascii_, c)))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in ts])
+
+
+def nfkc_each(texts: Column) -> Column:
+    """nfkc of each text of an array."""
+    ascii_ = F.forall(texts, lambda t: t.isNull() | t.rlike(r"\A[\x00-\x7f]*\z"))
+    return F.when(ascii_, texts).otherwise(_nfkc_each(F.when(~ascii_, texts)))
+
+
 def strip_invisible(c: Column) -> Column:
     return F.regexp_replace(c, INVISIBLE, "")
 
@@ -107,9 +125,13 @@ def preview(c: Column, n: int) -> Column:
 
 
 def first_by_key(items: Column, key) -> Column:
-    """Items whose key no earlier item has."""
-    known = lambda seen, x: F.exists(seen, lambda y: key(y) == key(x))
-    return F.aggregate(items, F.slice(items, 1, 0), lambda seen, x: F.when(known(seen, x), seen).otherwise(F.concat(seen, F.array(x))))
+    """Items whose key no earlier item has. A key is made once for each item."""
+
+    def pick(both: Column) -> Column:
+        keys = both["keys"]
+        return F.filter(both["items"], lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+    return let(let(items, lambda xs: F.struct(xs.alias("items"), F.transform(xs, key).alias("keys"))), pick)
 
 
 #: Names of the variants and the signals each carries.
@@ -144,13 +166,18 @@ def scan_variants(raw: Column, normal: Column | None = None) -> Column:
 def detection_texts(c: Column) -> Column:
     """The text, its collapsed form, and for each of these the percent runs decoded, and collapsed; each text once."""
     both = F.array_distinct(F.concat(F.array(c), F.filter(F.array(collapse_obfuscation(c)), lambda t: t != "")))
-    runs = F.flatten(F.transform(both, lambda t: F.regexp_extract_all(t, F.lit(PERCENT_RUN), F.lit(0))))
-    decoded = F.flatten(F.transform(runs, lambda r: F.array(percent_unquote(r, 3), collapse_obfuscation(percent_unquote(r, 3)))))
-    return F.array_distinct(F.concat(both, F.filter(decoded, lambda t: t != "")))
+
+    def more(texts: Column) -> Column:
+        runs = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(PERCENT_RUN), F.lit(0))))
+        decoded = F.flatten(F.transform(runs, lambda r: let(percent_unquote(r, 3), lambda d: F.array(d, collapse_obfuscation(d)))))
+        return F.array_distinct(F.concat(texts, F.filter(decoded, lambda t: t != "")))
+
+    return let(both, more)
 
 
 def decoded_substrings(c: Column) -> Column:
     """Percent blobs cleaned of lone % and decoded once; only those that begin with %hh and hold at least four."""
     clean = F.transform(F.regexp_extract_all(c, F.lit(PERCENT_BLOB), F.lit(0)), lambda b: F.regexp_replace(b, NOT_HEX, ""))
-    fit = F.filter(clean, lambda b: b.rlike("^%[0-9A-Fa-f]{2}") & (F.size(F.regexp_extract_all(b, F.lit("%[0-9A-Fa-f]{2}"), F.lit(0))) >= 4))
-    return F.array_distinct(F.filter(F.transform(fit, lambda b: F.when(percent_unquote(b) != b, percent_unquote(b))), lambda t: t.isNotNull()))
+    fit = F.filter(clean, lambda b: b.rlike("^%[0-9A-Fa-f]{2}") & (F.regexp_count(b, F.lit("%[0-9A-Fa-f]{2}")) >= 4))
+    decoded = F.transform(fit, lambda b: let(percent_unquote(b), lambda d: F.when(d != b, d)))
+    return F.array_distinct(F.filter(decoded, lambda t: t.isNotNull()))
