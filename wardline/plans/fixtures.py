@@ -34,12 +34,12 @@ CONTENT = (
 SITES = 1009
 
 
-def content_sql(sites: int = SITES) -> str:
+def content_sql(sites: int | str = SITES) -> str:
     cases = " ".join(f"WHEN {i} THEN {c.replace('n,', f'CAST(event_id % {sites} AS VARCHAR(9)),').replace('n)', f'CAST(event_id % {sites} AS VARCHAR(9)))').replace('k)', 'CAST(event_id % 13 AS VARCHAR(9)))').replace('k,', 'CAST(event_id % 13 AS VARCHAR(9)),')}" for i, c in enumerate(CONTENT))
     return f"CASE event_id % 16 {cases} END"
 
 
-def messages_sql(sites: int = SITES) -> str:
+def messages_sql(sites: int | str = SITES) -> str:
     return f"""SELECT event_id AS message_id, {T0} + event_id * 7 AS epoch, user_id % 20 AS guild_id, event_id % 50 AS channel_id, user_id,
         concat('user', CAST(user_id AS VARCHAR(19))) AS user_name, event_type = 'error' AS author_is_bot, {T0} + user_id * 100 - 700000 AS created, {content_sql(sites)} AS content FROM events"""
 

@@ -17,6 +17,7 @@ from ..operators import risk
 from ..sources.tables import human_messages, latest_snapshot
 from ..streaming import jobs
 from . import fixtures as X
+from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +55,9 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
 
 def summaries(spark: SparkSession, sf: str) -> DataFrame:
     s = scan(spark, sf)
-    return _flat(A.summarize_scan(A.assemble_scan(s["scanned"], s["resolved"], s["invites"])).drop("urls_json"))
+    out = A.summarize_scan(A.assemble_scan(s["scanned"], s["resolved"], s["invites"])).drop("urls_json")
+    ids = {c: F.array_join(F.col(c).cast("array<string>"), "|", "none") for c in ("guild_ids", "redirect_guild_ids")}
+    return _flat(out.withColumns(ids))
 
 
 def alert_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +95,9 @@ def domains(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.array_join(plain_urls(F.col("url")), "|").alias("urls"))
+    """Links of a text that names each page, and another address in the next line."""
+    text = F.concat("url", F.lit("\nor www.example.org/"), F.col("page_id").cast("string"), F.lit("."))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.array_join(plain_urls(text), "|").alias("urls"))
 
 
 def list_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,18 +231,15 @@ def oracle_sql() -> dict[str, str]:
     history = f"""SELECT message_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) - 1 AS earlier FROM {m} WHERE message_id % 3 = 0"""
     acts = f"""SELECT message_id, user_id, epoch, concat('key', user_id % 7) AS alert_key, CASE message_id % 3 WHEN 0 THEN 'review_low' WHEN 1 THEN 'block' ELSE 'review_high' END AS action FROM {m}"""
     recent = f"""SELECT printf('evt-%04d', n) AS event_id, message_id, user_id, action FROM (SELECT *, row_number() OVER (ORDER BY epoch, message_id) AS n FROM ({acts})) QUALIFY row_number() OVER (ORDER BY n DESC) <= 25"""
-    cooldown = f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY epoch, message_id) AS n FROM ({acts})),
-        s AS (
-            SELECT alert_key, n, message_id, true AS emitted, epoch AS sent, CAST(0 AS BIGINT) AS told, CAST(1 AS BIGINT) AS user_count, CAST(0 AS BIGINT) AS muted, [user_id] AS users FROM a WHERE n = 1
-            UNION ALL
-            SELECT a.alert_key, a.n, a.message_id, epoch - sent >= 300, CASE WHEN epoch - sent >= 300 THEN epoch ELSE sent END,
-                CASE WHEN epoch - sent >= 300 THEN muted ELSE muted + 1 END, CAST(len(list_distinct(list_append(users, user_id))) AS BIGINT),
-                CASE WHEN epoch - sent >= 300 THEN 0 ELSE muted + 1 END, CASE WHEN epoch - sent >= 300 THEN [user_id] ELSE list_distinct(list_append(users, user_id)) END
-            FROM s JOIN a ON a.alert_key = s.alert_key AND a.n = s.n + 1
-        )
-        SELECT alert_key, message_id, emitted, told AS suppressed_count, user_count,
-            CASE WHEN emitted AND told > 0 THEN concat('Suppressed ', told, ' similar events in the last 5 minutes across ', user_count, ' user(s).') ELSE '' END AS note FROM s"""
-    return {
+    cooldown = f"{oracles.cooldown(acts)} SELECT * FROM alerts"
+    return oracles.sql() | {
+        "page_links": "SELECT page_id, concat(url, '|www.example.org/', page_id, '|', url, 'orwww.example.org/', page_id) AS urls FROM pages",
+        "punishments": f"""SELECT message_id, action = 'block' AS delete, CASE WHEN skip_reason IS NULL THEN p END AS punish, skip_reason,
+            CASE WHEN early IS NULL AND p IN ('kick', 'ban') THEN concat('You were removed after posting a blocked suspicious link. Action: ', p, '.', CASE WHEN message_id % 6 = 0 THEN concat(chr(10), 'Appeal form: https://appeal') ELSE '' END) END AS notice
+            FROM (SELECT *, coalesce(early, CASE WHEN NOT CASE p WHEN 'timeout' THEN message_id % 3 <> 0 WHEN 'kick' THEN message_id % 5 <> 0 ELSE true END THEN 'missing permission' END) AS skip_reason FROM (
+                SELECT *, CASE WHEN action <> 'block' THEN 'no block' WHEN message_id % 11 = 0 THEN 'no member' WHEN message_id % 7 = 0 THEN 'staff' WHEN message_id % 13 = 0 THEN 'bot absent'
+                    WHEN p = 'none' THEN 'no punishment' WHEN message_id % 9 >= 5 THEN 'role hierarchy' END AS early
+                FROM (SELECT message_id, CASE WHEN message_id % 2 = 0 THEN 'block' ELSE 'review_high' END AS action, CASE message_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'timeout' WHEN 2 THEN 'kick' ELSE 'ban' END AS p FROM {m})))""",
         "human_messages": f"SELECT message_id, epoch, guild_id, channel_id, user_id, content FROM {m} WHERE NOT author_is_bot AND guild_id IS NOT NULL",
         "text_functions": rf"""SELECT message_id, translate(content, chr(12290) || chr(65294) || chr(65377), '...') AS dots, regexp_replace(content, '[<>\[\](){{}}*_`|"''“”‘’]', '', 'g') AS decoration,
             trim(regexp_replace(content, '\s+', ' ', 'g')) AS collapsed, regexp_replace(content, '\s+', '', 'g') AS removed,
