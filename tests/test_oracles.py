@@ -1,5 +1,7 @@
 """Queries against their SQL on the smallest tables."""
 
+import functools
+
 import duckdb
 import pytest
 
@@ -8,6 +10,15 @@ from wardline.plans import queries as links
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_scan():
+    """The queries that start with the scan share one in this module."""
+    whole = links.scan
+    links.scan = functools.cache(whole)
+    yield
+    links.scan = whole
+
+
 @pytest.mark.parametrize("name", sorted(links.oracle_sql()))
 def test_oracle(spark, name):
     c = duckdb.connect()

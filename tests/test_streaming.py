@@ -1,11 +1,17 @@
 """Streams in many micro-batches: bounded, in order, and equal to the batch operators."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from wardline.functions.extract import explode_candidates, scan_text
+from wardline.operators import risk
 from wardline.operators.alerts import suppress_alerts
+from wardline.operators.resolve import direct_invites, inspected_snapshot, lookup_invites, resolve_urls
 from wardline.operators.risk import WINDOW_S
 from wardline.plans import queries as Q
+from wardline.sources.tables import human_messages
 from wardline.streaming import jobs
 
 
@@ -45,3 +51,61 @@ def test_history_over_micro_batches(actions, tmp_path):
     out = jobs.run_available(jobs.stream_user_history(jobs.replay(actions, "message_id", str(tmp_path), 120)), str(tmp_path))
     got = {r.message_id: (r.earlier, r.late) for r in out.collect()}
     assert got == {i: (sum(i % 11 == j % 11 and (i - j) * 7 <= WINDOW_S for j in range(i)), False) for i in range(500)}
+
+
+T0 = datetime.datetime(2024, 5, 1, 12, 0, 0)
+
+
+def static(spark):
+    snapshot = spark.createDataFrame([("https://none.example", "HEAD", 405, None, 0, None, None, None, T0)], "request_url string, method string, status int, final_url string, history_len int, content_type string, body binary, error string, fetched_at timestamp")
+    invites = spark.createDataFrame([("fine", 456, True, None)], "code string, guild_id long, resolved boolean, error string")
+    lists = spark.createDataFrame([("blocklist", "bad.example.net")], "list_name string, domain string"), spark.createDataFrame([("allowlist", 456)], "list_name string, server_id long")
+    return jobs.Static(jobs.stored(inspected_snapshot(snapshot)), invites, *lists)
+
+
+TEXTS = ["https://bad.example.net/x", "https://discord.gg/fine", "https://a.example.com", "hello", "https://discord.gg/other"]
+
+
+@pytest.fixture
+def messages(spark):
+    rows = [(i, T0 + datetime.timedelta(seconds=40 * i), 1, i % 3, TEXTS[i % 5], T0, False) for i in range(60)]
+    return spark.createDataFrame(rows, "message_id long, ts timestamp, guild_id long, user_id long, content string, account_created_at timestamp, author_is_bot boolean")
+
+
+def test_stream_verdicts_equal_batch(spark, messages, tmp_path):
+    """Over several micro-batches, each of several shuffled partitions: the history crosses batches."""
+    fixed = static(spark)
+    path = jobs.stream_verdicts(jobs.replay(messages, "message_id", str(tmp_path), 25), fixed, str(tmp_path))
+    assert len(list((tmp_path / path.rsplit("/", 1)[1] / "verdicts").glob("batch=*"))) == 3
+    scanned = scan_text(human_messages(messages))
+    resolved = resolve_urls(explode_candidates(scanned), fixed.snapshot)
+    found = lookup_invites(direct_invites(scanned), fixed.invites)
+    want = risk.score_messages(scanned, resolved, found, fixed.domains, fixed.servers)
+    columns = ["message_id", "verdict", "score", "reasons", "matched_domains", "matched_server_ids", "alert_level"]
+    got = spark.read.parquet(f"{path}/verdicts").select(columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(columns).collect())) and got.where("array_contains(reasons, 'repeated suspicious activity from the same user')").count() > 5
+    assert spark.read.parquet(f"{path}/late").count() == 0
+
+
+def test_late_messages_go_to_their_own_table(spark, messages, tmp_path):
+    late = F.col("message_id").isin(50, 57)
+    moved = messages.withColumn("place", F.col("message_id")).withColumn("ts", F.when(late, F.col("ts") - F.expr("interval 1 hour")).otherwise(F.col("ts")))
+    path = jobs.stream_verdicts(jobs.replay(moved, "place", str(tmp_path), 25).drop("place"), static(spark), str(tmp_path))
+    assert {r.message_id for r in spark.read.parquet(f"{path}/late").collect()} == {50, 57}
+    assert {r.message_id for r in spark.read.parquet(f"{path}/verdicts").collect()} == set(range(60)) - {50, 57}
+
+
+def test_stragglers_ahead_of_the_watermark(spark, tmp_path):
+    """A row that comes after newer ones of its user is counted against what has come by then."""
+    order = [0, 100, 300, 200, 400, 250, 900, 700]
+    ts = F.timestamp_seconds(F.element_at(F.array(*map(F.lit, order)), (F.col("id") + 1).cast("int")) + 1_700_000_000)
+    rows = spark.range(len(order)).select(F.col("id").alias("message_id"), F.lit(7).cast("long").alias("user_id"), ts.alias("ts"))
+    out = jobs.run_available(jobs.stream_user_history(jobs.replay(rows, "message_id", str(tmp_path), 1)), str(tmp_path))
+    got = {r.message_id: (r.earlier, r.late) for r in out.collect()}
+    assert got == {i: (sum(0 <= at - b <= WINDOW_S for b in order[:i]), any(b > at for b in order[:i])) for i, at in enumerate(order)}
+
+
+def test_quarantine(spark):
+    rows = spark.createDataFrame([(1, T0, "x"), (None, T0, "x"), (2, None, "x"), (3, T0, None)], "message_id long, ts timestamp, content string")
+    good, bad = jobs.quarantine(rows)
+    assert [r.message_id for r in good.orderBy("message_id").collect()] == [1, 3] and sorted(r.error for r in bad.collect()) == ["no message_id", "no ts"]

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import host_suffixes, normalize_domain
 
+# Scores from which a message is reviewed.
+HIGH, LOW = 50, 10
+
+
+LISTS = ("allowlist", "blocklist")
+
 
 def normalized_ops(ops: DataFrame) -> DataFrame:
     """ops (seq, ts, entry_type, list_name, action, value) with value made regular; null if it is no domain or id."""
@@ -35,18 +41,38 @@ def apply_list_ops(ops: DataFrame) -> DataFrame:
     return last.where("present").drop("present")
 
 
-def list_intervals(ops: DataFrame) -> DataFrame:
-    """entry_type, list_name, value, valid_from, valid_to (open if null): when each value was on a list."""
-    w = Window.partitionBy("entry_type", "list_name", "value").orderBy("seq")
-    rows = _effects(ops).withColumn("valid_to", F.lead("ts").over(w))
-    return rows.where("present AND (valid_to IS NULL OR valid_to > ts)").select("entry_type", "list_name", "value", F.col("ts").alias("valid_from"), "valid_to")
-
-
-def lists_as_of(rows: DataFrame, intervals: DataFrame, value: str, ts: str, entry_type: str) -> DataFrame:
-    """rows joined with the lists that hold their value at their time: equal value, time in the interval."""
-    own = intervals.where(F.col("entry_type") == entry_type).select("list_name", F.col("value").alias("__v"), "valid_from", "valid_to")
-    at = (F.col(ts) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(ts) < F.col("valid_to")))
-    return rows.join(own, (F.col(value).cast("string") == F.col("__v")) & at, "left").drop("__v", "valid_from", "valid_to")
+#: Parts of the rows' time span; a value's rows and edits of one part meet in one window.
+TIME_PARTS = 64
+
+
+def lists_as_of(rows: DataFrame, ops: DataFrame, value: str, ts: str, entry_type: str) -> DataFrame:
+    """rows with list_name for each list that holds their value at their time, null if none does; an edit counts from its own second on.
+
+    Rows and edits go through one window in order of time (ops are in order of seq and time alike), so the work grows with both, not with
+    their product. The window is cut by value and by part of the time span, since one value may have most rows; what a list holds where a
+    part begins comes with a row of its own. A row without value or time is on no list.
+    """
+    edits = _effects(ops).where(F.col("entry_type") == entry_type).select("value", "list_name", F.unix_micros("ts").alias("us"), "seq", "present")
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    low, width = low or 0, ((high or 0) - (low or 0)) // TIME_PARTS + 1
+    part = F.greatest(F.lit(-1), F.least(F.lit(TIME_PARTS), F.floor((F.col("us") - low) / width))).cast("int")
+    edits = edits.withColumn("part", part).where(F.col("part") < TIME_PARTS)
+    ends = edits.groupBy("value", "list_name", "part").agg(F.max_by("present", F.struct("us", "seq")).alias("present"))
+    after = F.lead("part").over(Window.partitionBy("value", "list_name").orderBy("part"))  # at most a row for each part
+    carried = ends.withColumn("to", F.coalesce(after, F.lit(TIME_PARTS - 1))).where("present AND part < to")
+    carried = carried.select("value", "list_name", F.explode(F.expr("sequence(part + 1, to)")).alias("part"), F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("bigint").alias("seq"), F.lit(True).alias("present"))
+    changes = edits.where("part >= 0").select("value", "list_name", "part", "us", "seq", "present").unionByName(carried)
+    nothing = {"list_name": F.lit(None).cast("string"), "seq": F.lit(None).cast("bigint"), "present": F.lit(None).cast("boolean")}
+    asked = rows.select(F.struct("*").alias("row"), F.col(value).cast("string").alias("value"), us.alias("us")).withColumns(nothing)
+    asked = asked.withColumn("part", part).withColumn("kind", F.lit(1))
+    both = asked.unionByName(changes.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy("value", "part").orderBy(F.col("us").asc_nulls_first(), "kind", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = [F.when(F.coalesce(F.last(F.when(F.col("list_name") == name, F.col("present")), True).over(upto), F.lit(False)), F.lit(name)) for name in LISTS]
+    known = F.col("value").isNotNull() & F.col("us").isNotNull()
+    names = F.filter(F.array(*held), lambda x: x.isNotNull())
+    found = both.withColumn("names", names).where("kind = 1").withColumn("names", F.when(known, F.col("names")))
+    return found.select("row.*", F.explode_outer("names").alias("list_name"))
 
 
 def domain_matches(rows: DataFrame, domain_list: DataFrame, domain: str = "domain") -> DataFrame:
@@ -67,9 +93,21 @@ def list_report(entries: DataFrame, scope_size: int = 20) -> DataFrame:
     return entries.withColumn("rank", rank).where(F.col("rank") <= scope_size)
 
 
-def status_summary(entries: DataFrame, events: DataFrame, alerts: DataFrame) -> DataFrame:
-    """name, value: list sizes, recent events, alert keys."""
-    sizes = entries.groupBy(F.concat_ws("_", "entry_type", "list_name").alias("name")).agg(F.count(F.lit(1)).alias("value"))
-    recent = events.agg(F.least(F.lit(25).cast("bigint"), F.count(F.lit(1))).alias("value")).select(F.lit("recent_events").alias("name"), "value")
-    keys = alerts.agg(F.countDistinct("alert_key").alias("value")).select(F.lit("alert_keys").alias("name"), "value")
-    return sizes.unionByName(recent).unionByName(keys)
+def status_summary(entries: DataFrame, events: DataFrame, alerts: DataFrame, config: DataFrame) -> DataFrame:
+    """name, value: list sizes, recent events, alert keys, thresholds, mode and punishment, all as text. config: the one row of runtime_config."""
+    text = lambda c: c.cast("string").alias("value")
+    sizes = entries.groupBy(F.concat_ws("_", "entry_type", "list_name").alias("name")).agg(text(F.count(F.lit(1))))
+    recent = events.agg(text(F.least(F.lit(25).cast("bigint"), F.count(F.lit(1))))).select(F.lit("recent_events").alias("name"), "value")
+    keys = alerts.agg(text(F.countDistinct("alert_key"))).select(F.lit("alert_keys").alias("name"), "value")
+    channel = F.coalesce(F.concat(F.lit("<#"), F.col("mod_log_channel_id").cast("string"), F.lit(">")), F.lit("not configured"))
+    said = {
+        "scanning": F.lit("enabled"),
+        "mode": F.col("mode"),
+        "mod_log_channel": channel,
+        "thresholds": F.lit(f"{LOW}/{HIGH}"),
+        "punishment": F.col("block_punishment"),
+        "timeout_minutes": F.col("action_timeout_minutes").cast("string"),
+        "appeal": F.when(F.col("appeal_form_url").isNotNull(), "set").otherwise("not set"),
+    }
+    rows = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in said.items())))
+    return sizes.unionByName(recent).unionByName(keys).unionByName(config.select(rows.alias("r")).select("r.*"))

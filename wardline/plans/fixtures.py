@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder, stored
+
+__all__ = ["shared_folder", "stored"]
 T0 = 1704067200
 #: What a message says, by event_id % 16. {n} is the event's number.
 CONTENT = (
@@ -51,12 +51,14 @@ def ops_sql() -> str:
         CASE WHEN event_id % 4 = 3 THEN CAST(event_id % 17 AS VARCHAR(9)) ELSE concat('h', CAST(event_id % 13 AS VARCHAR(9)), '.example.com') END AS value FROM events"""
 
 
-def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM events", "FROM {events}").replace("chr(12290)", "'。'").replace("chr(8203)", "'​'"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+def _view(spark: SparkSession, sf_dir: str, sql: str, events: DataFrame | None = None) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events
+    return spark.sql(sql.replace("FROM events", "FROM {events}").replace("chr(12290)", "'。'").replace("chr(8203)", "'​'"), events=events)
 
 
-def messages(spark: SparkSession, sf_dir: str, sites: int = SITES) -> DataFrame:
-    df = _view(spark, sf_dir, messages_sql(sites))
+def messages(spark: SparkSession, sf_dir: str, sites: int = SITES, events: DataFrame | None = None) -> DataFrame:
+    """Messages of the events table, or of a stream of its rows."""
+    df = _view(spark, sf_dir, messages_sql(sites), events)
     return df.withColumn("ts", F.timestamp_seconds("epoch")).withColumn("account_created_at", F.timestamp_seconds("created")).drop("created")
 
 
@@ -118,13 +120,11 @@ def server_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("blocklist", 40), ("allowlist", 10), ("allowlist", 20)], "list_name string, server_id long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+def config_changes_sql() -> str:
+    """Changes of the block punishment, one for every hundredth event."""
+    return f"""SELECT event_id AS seq, {T0} + event_id * 7 AS epoch, CASE event_id % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'kick' ELSE 'ban' END AS punishment,
+        CAST(event_id % 41 - 5 AS INT) AS minutes, CASE WHEN event_id % 2 = 0 THEN '  ' ELSE concat(' https://appeal.example.com/', CAST(event_id AS VARCHAR(19)), ' ') END AS appeal_form_url FROM events WHERE event_id % 100 = 7"""
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: later steps read it instead of making it again."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, config_changes_sql()).withColumn("ts", F.timestamp_seconds("epoch"))

@@ -193,7 +193,22 @@ def sql() -> dict[str, str]:
     number = lambda way: f"(SELECT count(*) FROM found f WHERE f.message_id = m.message_id AND way = '{way}')"
     by_kind = lambda i: "CASE kind " + " ".join(f"WHEN {kind} THEN '{'|'.join(sorted(parts[i].split()))}'" for kind, parts in KINDS.items()) + " END"
     hidden = "kind IN (" + ", ".join(str(kind) for kind, parts in KINDS.items() if parts[2]) + ")"
+    colour = "CASE verdict WHEN 'block' THEN 'red' WHEN 'review_high' THEN 'orange' ELSE 'yellow' END"
+    emitted = f"""{cooldown('SELECT * FROM verdict_actions', f'{verdict_tables()}, {acts}')}, shown AS (SELECT a.*, v.* EXCLUDE (alert_key, message_id), {colour} AS colour FROM alerts a JOIN verdict_actions v USING (message_id) WHERE emitted)"""
+    cut = lambda x, n=1024: f"(SELECT CASE WHEN length(t) > {n} THEN concat(t[1:{n - 3}], '...') ELSE t END FROM (SELECT {x} AS t))"
+    field = lambda lists: cut(f"coalesce(nullif(array_to_string({lists}, chr(10)), ''), 'none')")
+    flags = "concat_ws('/', CASE WHEN html_redirect_detected THEN 'html-redirect' END, 'invite ' || final_invite_url)"
+    line = f"concat_ws(' ', original_url, CASE WHEN final_url <> original_url THEN '-> ' || final_url END, CASE WHEN {flags} <> '' THEN concat('(', {flags}, ')') END)"
+    report = f"""WITH {verdict_tables()}, lines AS (SELECT message_id, list({line} ORDER BY pos) FILTER (pos < 5) AS urls FROM resolved GROUP BY message_id),
+        named AS (SELECT message_id, list(url ORDER BY way, pos) AS invites FROM found GROUP BY message_id)
+        SELECT v.message_id, {cut('v.content', 400)} AS text, {field('urls')} AS urls, {field('invites')} AS invites, {field(_distinct('signals'))} AS signals,
+            CASE WHEN len(list_intersect(signals, ['percent_decoding', 'whitespace_flattening', 'embedded_invite', 'obfuscated_url'])) > 0 THEN 'Invite or URL only surfaced after normalization.'
+                ELSE 'No extra normalization tricks were needed.' END AS note, concat(verdict, ' (score ', score, ')') AS verdict, {field('reasons')} AS reasons
+        FROM verdicts v JOIN flags USING (message_id) LEFT JOIN lines USING (message_id) LEFT JOIN named USING (message_id)"""
     return {
+        "scan_reports": report,
+        "stream_verdict_counts": f"WITH {verdict_tables()} SELECT verdict, alert_level, count(*) AS messages, CAST(sum(score) AS BIGINT) AS score FROM verdicts GROUP BY ALL",
+        "alert_channels": f"{emitted} SELECT alert_level AS channel, colour, count(*) AS alerts FROM shown GROUP BY ALL",
         "resolved_urls": f"""WITH {scan_tables()} SELECT message_id, pos, original_url, normalized_url, final_url, original_domain, final_domain, resolved, {joined('signals')}, false AS redirected, html_redirect_detected,
             final_invite_url, coalesce(final_invite_url, '') AS embedded_invites, suspicious_redirector, false AS suspicious_interstitial, status_code, error FROM resolved""",
         "verdicts": f"WITH {verdict_tables()} SELECT message_id, user_id, epoch AS ts, verdict, {', '.join(arrays)}, score, alert_level FROM verdicts",
@@ -201,7 +216,5 @@ def sql() -> dict[str, str]:
         "scan_summaries": f"""WITH {scan_tables()} SELECT message_id, (SELECT count(*) FROM resolved r WHERE r.message_id = m.message_id) AS n_urls, {number('direct')} AS n_invites, {number('redirect')} AS n_redirect_invites,
             coalesce((SELECT array_to_string(list(coalesce(final_domain, original_domain) ORDER BY pos), '|') FROM resolved r WHERE r.message_id = m.message_id), '') AS domains,
             coalesce({nested('direct', 'guild_id')}, '') AS guild_ids, coalesce({nested('redirect', 'guild_id')}, '') AS redirect_guild_ids, {hidden} AS obfuscated_invites, {by_kind(4)} AS url_signals, {by_kind(3)} AS invite_signals FROM m""",
-        "alert_payloads": f"""{cooldown('SELECT * FROM verdict_actions', f'{verdict_tables()}, {acts}')}
-            SELECT a.alert_key, message_id, 'Alert: ' || action AS title, CASE verdict WHEN 'block' THEN 'red' WHEN 'review_high' THEN 'orange' ELSE 'yellow' END AS colour, verdict, score, {', '.join(arrays)},
-                content AS preview, note, alert_level FROM alerts a JOIN verdict_actions v USING (message_id) WHERE emitted""",
+        "alert_payloads": f"{emitted} SELECT alert_key, message_id, 'Alert: ' || action AS title, colour, verdict, score, {', '.join(arrays)}, content AS preview, note, alert_level FROM shown",
     }

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.extract import explode_candidates, plain_urls, scan_text
+from ..functions.extract import explode_candidates, extract_invites_basic, invite_prefilter, parse_invite_url, plain_urls, scan_text
 from ..functions.html import inspect_html
 from ..operators import alerts as A
 from ..operators import lists as L
 from ..operators import resolve as R
 from ..operators import risk
-from ..sources.tables import human_messages, latest_snapshot
+from ..sources.tables import human_messages, latest_snapshot, read_domain_list, read_list_documents, read_messages, read_server_list, runtime_config, set_punishment_config, write_lists
 from ..streaming import jobs
 from . import fixtures as X
 from . import oracles
@@ -71,7 +72,10 @@ def inspected_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def human(spark: SparkSession, sf: str) -> DataFrame:
-    return human_messages(X.messages(spark, sf)).select("message_id", "epoch", "guild_id", "channel_id", "user_id", "content")
+    """Messages through their source: written as a table and read by its schema."""
+    path = f"{X.shared_folder(spark)}/messages-{uuid.uuid4().hex}"
+    X.messages(spark, sf).write.parquet(path)
+    return read_messages(spark, path).withColumn("epoch", F.unix_seconds("ts")).select("message_id", "epoch", "guild_id", "channel_id", "user_id", "content")
 
 
 def text_functions(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,13 +114,16 @@ def list_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def lists_as_of(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.messages(spark, sf).select("message_id", "ts", F.concat(F.lit("h"), (F.col("message_id") % 13).cast("string"), F.lit(".example.com")).alias("domain"))
-    return L.lists_as_of(rows, L.list_intervals(X.list_ops(spark, sf)), "domain", "ts", "domain").select("message_id", "list_name")
+    return L.lists_as_of(rows, X.list_ops(spark, sf), "domain", "ts", "domain").select("message_id", "list_name")
 
 
 def matched_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts of pages against two lists: some hosts, the parents of others, and a name that none has."""
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", T.normalize_domain(F.col("url")).alias("domain"))
-    listed = pages.groupBy(F.element_at(F.split("domain", r"\."), -1).alias("domain")).agg(F.lit("allowlist").alias("list_name"))
-    return L.domain_matches(pages, listed)
+    hosts = pages.where("page_id % 5 = 0").select(F.lit("allowlist").alias("list_name"), "domain")
+    parents = pages.where("page_id % 7 = 0").select(F.lit("blocklist").alias("list_name"), F.regexp_replace("domain", r"^[^.]*\.", "").alias("domain"))
+    none = spark.createDataFrame([("blocklist", "nowhere.invalid")], "list_name string, domain string")
+    return L.domain_matches(pages, hosts.unionByName(parents).unionByName(none).distinct())
 
 
 def matched_servers(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,9 +178,65 @@ def punishments(spark: SparkSession, sf: str) -> DataFrame:
     return A.plan_punishment(rows).select("message_id", "delete", "punish", "skip_reason", "notice")
 
 
+def config_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The configuration after all changes, with its defaults."""
+    changed = set_punishment_config(X.config_changes(spark, sf))
+    return runtime_config(changed.withColumns({"mod_log_channel_id": F.lit("77"), "mode": F.lit("monitor")}))
+
+
 def status(spark: SparkSession, sf: str) -> DataFrame:
     actions = _actions(spark, sf)
-    return L.status_summary(list_state(spark, sf), actions, actions)
+    return L.status_summary(list_state(spark, sf), actions, actions, config_state(spark, sf))
+
+
+def list_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists as documents, written whole, the allowlist once more with one entry alone, and read back."""
+    state, out = X.stored(list_state(spark, sf)), []
+    for kind, column, read in (("domain", "domain", read_domain_list), ("server", "server_id", read_server_list)):
+        path = f"{X.shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+        own = state.where(F.col("entry_type") == kind).select("list_name", F.col("value").alias(column))
+        write_lists(own, column, path)
+        write_lists(spark.createDataFrame([("allowlist", "new.example.org" if kind == "domain" else "1_000")], f"list_name string, {column} string"), column, path)
+        out.append(read(read_list_documents(spark, path)).select(F.lit(kind).alias("entry_type"), "list_name", F.col(column).cast("string").alias("value")))
+    return out[0].unionByName(out[1])
+
+
+def text_repair(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("content")
+    return X.messages(spark, sf).select(
+        "message_id", T.nfkc(c).alias("nfkc"), T.strip_invisible(c).alias("visible"), T.strip_quote_prefixes(c).alias("unquoted"), T.normalize_text(c).alias("normal"),
+        T.normalize_candidate_url(F.concat(c, F.lit("\\)"))).alias("candidate"), invite_prefilter(c).alias("may_link"),
+    )
+
+
+def invite_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Invites of a text that names two, one in the long form, and again in its collapsed form."""
+    text = F.format_string("see https://discord.gg/code%d, or discord.com/invite/x%d!", F.col("message_id") % 13, F.col("message_id"))
+    first, every = parse_invite_url(text), F.transform(extract_invites_basic(text), lambda x: x["code"])
+    return X.messages(spark, sf).select("message_id", first["code"].alias("first_code"), first["url"].alias("url"), F.array_join(every, "|").alias("codes"))
+
+
+def moderators(spark: SparkSession, sf: str) -> DataFrame:
+    m = F.col("message_id")
+    flags = [F.when(m % k != 0, m % n == 0) for k, n in ((11, 10), (13, 4), (17, 6), (19, 15))]  # null at times
+    return X.messages(spark, sf).select("message_id", A.is_moderator(*flags).alias("moderator"))
+
+
+def quarantined(spark: SparkSession, sf: str) -> DataFrame:
+    m = F.col("message_id")
+    rows = X.messages(spark, sf).withColumns({"n": m, "message_id": F.when(m % 97 != 0, m), "ts": F.when(m % 89 != 0, F.col("ts"))})
+    good, bad = jobs.quarantine(rows)
+    return good.select("n", F.lit("").alias("error")).unionByName(bad.select("n", "error"))
+
+
+def alert_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts by the channel that they go to."""
+    s = scan(spark, sf)
+    actions = A.with_actions(s["verdicts"])
+    payload = X.stored(A.alert_payload(A.suppress_alerts(actions), actions))
+    main, quiet = A.split_main_quiet(payload)
+    count = lambda df, name: df.groupBy("colour").agg(F.count(F.lit(1)).alias("alerts")).select(F.lit(name).alias("channel"), "colour", "alerts")
+    return count(main, "main").unionByName(count(quiet, "quiet"))
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,8 +254,26 @@ def stream_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     return _alerts(jobs.run_available(jobs.stream_alert_suppression(rows), X.shared_folder(spark)))
 
 
+def stream_verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdicts of a stream of messages, joined with snapshots and lists, from its sink."""
+    sites = spark.read.parquet(f"{sf}/pages.parquet").count() | 1
+    events = jobs.replay(spark.read.parquet(f"{sf}/events.parquet"), "event_id", X.shared_folder(spark))
+    snapshot = X.stored(R.inspected_snapshot(latest_snapshot(X.fetches(spark, sf), ["request_url", "method"])))
+    static = jobs.Static(snapshot, X.stored(X.invites(spark, sf)), X.domain_list(spark), X.server_list(spark))
+    path = jobs.stream_verdicts(X.messages(spark, sf, sites, events), static, X.shared_folder(spark))
+    return spark.read.parquet(f"{path}/verdicts").groupBy("verdict", "alert_level").agg(F.count(F.lit(1)).alias("messages"), F.sum("score").alias("score"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "config_state": config_state,
+        "list_documents": list_documents,
+        "text_repair": text_repair,
+        "invite_codes": invite_codes,
+        "moderators": moderators,
+        "quarantined": quarantined,
+        "alert_channels": alert_channels,
+        "stream_verdict_counts": stream_verdict_counts,
         "verdict_counts": verdict_counts,
         "verdicts": all_verdicts,
         "resolved_urls": resolved_urls,
@@ -228,6 +309,8 @@ def oracle_sql() -> dict[str, str]:
     effects = f"""SELECT seq, epoch, entry_type, value, list_name, action = 'add' AS present FROM {ops}
         UNION ALL SELECT seq, epoch, entry_type, value, CASE WHEN list_name = 'allowlist' THEN 'blocklist' ELSE 'allowlist' END, false FROM {ops} WHERE action = 'add'"""
     state = f"SELECT entry_type, list_name, value FROM ({effects}) GROUP BY ALL HAVING arg_max(present, seq)"
+    config = f"""SELECT CAST(77 AS BIGINT) AS mod_log_channel_id, arg_max(punishment, seq) AS block_punishment, nullif(trim(arg_max(appeal_form_url, seq)), '') AS appeal_form_url,
+        greatest(1, arg_max(minutes, seq)) AS action_timeout_minutes, 'monitor' AS mode FROM ({X.config_changes_sql()})"""
     history = f"""SELECT message_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) - 1 AS earlier FROM {m} WHERE message_id % 3 = 0"""
     acts = f"""SELECT message_id, user_id, epoch, concat('key', user_id % 7) AS alert_key, CASE message_id % 3 WHEN 0 THEN 'review_low' WHEN 1 THEN 'block' ELSE 'review_high' END AS action FROM {m}"""
     recent = f"""SELECT printf('evt-%04d', n) AS event_id, message_id, user_id, action FROM (SELECT *, row_number() OVER (ORDER BY epoch, message_id) AS n FROM ({acts})) QUALIFY row_number() OVER (ORDER BY n DESC) <= 25"""
@@ -254,7 +337,9 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT * FROM i WHERE present AND entry_type = 'domain')
             SELECT message_id, k.list_name FROM (SELECT message_id, epoch, concat('h', message_id % 13, '.example.com') AS domain FROM {m}) m
             LEFT JOIN k ON k.value = m.domain AND m.epoch >= k.epoch AND (k.valid_to IS NULL OR m.epoch < k.valid_to)""",
-        "domain_matches": f"SELECT page_id, {host} AS domain, 'allowlist' AS list_name FROM pages",
+        "domain_matches": f"""WITH h AS (SELECT page_id, {host} AS domain FROM pages),
+            listed AS (SELECT 'allowlist' AS list_name, domain AS entry FROM h WHERE page_id % 5 = 0 UNION SELECT 'blocklist', domain[position('.' IN domain) + 1 :] FROM h WHERE page_id % 7 = 0 UNION SELECT 'blocklist', 'nowhere.invalid')
+            SELECT DISTINCT page_id, domain, list_name FROM h JOIN listed ON domain = entry OR ends_with(domain, '.' || entry)""",
         "server_matches": f"SELECT message_id, guild_id, CASE WHEN guild_id = 40 THEN 'blocklist' ELSE 'allowlist' END AS list_name FROM {m} WHERE guild_id IN (10, 20, 40)",
         "user_history": history,
         "stream_user_history": history,
@@ -264,6 +349,17 @@ def oracle_sql() -> dict[str, str]:
         "top_recent": f"SELECT event_id, message_id, action FROM ({recent}) WHERE action IN ('block', 'review_high') ORDER BY message_id DESC LIMIT 5",
         "numbered_events": f"SELECT row_number() OVER (ORDER BY epoch, message_id) AS event_no, message_id FROM ({acts})",
         "routed_actions": f"""SELECT message_id, CASE message_id % 5 WHEN 2 THEN 'review_low' WHEN 3 THEN 'review_high' WHEN 4 THEN CASE WHEN message_id % 2 = 0 THEN 'block' ELSE 'block_detected' END END AS action FROM {m}""",
-        "status_summary": f"""SELECT concat(entry_type, '_', list_name) AS name, count(*) AS value FROM ({state}) GROUP BY ALL
-            UNION ALL SELECT 'recent_events', least(25, count(*)) FROM events UNION ALL SELECT 'alert_keys', count(DISTINCT user_id % 7) FROM events""",
+        "status_summary": f"""SELECT concat(entry_type, '_', list_name) AS name, CAST(count(*) AS VARCHAR) AS value FROM ({state}) GROUP BY ALL
+            UNION ALL SELECT 'recent_events', CAST(least(25, count(*)) AS VARCHAR) FROM events UNION ALL SELECT 'alert_keys', CAST(count(DISTINCT user_id % 7) AS VARCHAR) FROM events
+            UNION ALL SELECT name, value FROM (
+                SELECT unnest(['scanning', 'mode', 'mod_log_channel', 'thresholds', 'punishment', 'timeout_minutes', 'appeal']) AS name,
+                    unnest(['enabled', mode, '<#77>', '10/50', block_punishment, CAST(action_timeout_minutes AS VARCHAR), CASE WHEN appeal_form_url IS NULL THEN 'not set' ELSE 'set' END]) AS value FROM ({config}))""",
+        "config_state": config,
+        "list_documents": f"SELECT entry_type, list_name, value FROM ({state}) WHERE list_name <> 'allowlist' UNION ALL VALUES ('domain', 'allowlist', 'new.example.org'), ('server', 'allowlist', '1000')",
+        "text_repair": rf"""SELECT message_id, content AS nfkc, replace(content, chr(8203), '') AS visible, regexp_replace(content, '^[ \t]*>[ \t]?', '', 'gm') AS unquoted,
+            trim(regexp_replace(translate(replace(content, chr(8203), ''), chr(12290), '.'), '\s+', ' ', 'g')) AS normal, rtrim(rtrim(translate(content, chr(12290), '.') || chr(92) || ')', '.,!?;:''")]>}}'), chr(92)) AS candidate,
+            regexp_matches(content, '[/%]|[^\x00-\x7f]') OR contains(content, 'www.') AS may_link FROM {m}""",
+        "invite_codes": f"SELECT message_id, concat('code', message_id % 13) AS first_code, concat('https://discord.gg/code', message_id % 13) AS url, concat('code', message_id % 13, '|x', message_id) AS codes FROM {m}",
+        "moderators": f"SELECT message_id, message_id % 11 <> 0 AND message_id % 10 = 0 OR message_id % 13 <> 0 AND message_id % 4 = 0 OR message_id % 17 <> 0 AND message_id % 6 = 0 OR message_id % 19 <> 0 AND message_id % 15 = 0 AS moderator FROM {m}",
+        "quarantined": f"SELECT message_id AS n, CASE WHEN message_id % 97 = 0 THEN 'no message_id' WHEN message_id % 89 = 0 THEN 'no ts' ELSE '' END AS error FROM {m}",
     }

@@ -1,22 +1,27 @@
 """Continuous scans, user history and alert cooldown on Structured Streaming.
 
-The reference counts in processing time; here event time rules. Rows of a micro-batch are put in order of (ts, message_id) for
-each key, so a key's share of one micro-batch is held at once; `replay` bounds it. What comes after its key has moved on (by more than the watermark) is marked late and changes no state.
+The bot counts in processing time; here event time rules. Rows of a micro-batch are put in order of (ts, message_id) for
+each key, so a key's share of one micro-batch is held at once; `replay` bounds it.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.extract import scan_text
-from ..operators.alerts import ALERTS, Cooldown
+from ..functions.extract import explode_candidates, scan_text
+from ..operators import risk
+from ..operators.alerts import ALERTS, Cooldown, folded
+from ..operators.resolve import direct_invites, lookup_invites, redirect_invites, resolve_urls
 from ..operators.risk import WINDOW_S
+from ..sources.store import stored
 from ..sources.tables import human_messages
 
 HISTORY = "message_id long, user_id long, ts timestamp, earlier int, late boolean"
@@ -26,9 +31,53 @@ COOLDOWN_STATE = "last double, muted int, users array<long>"
 BATCH_ROWS = 100_000
 
 
-def stream_scan(messages: DataFrame) -> DataFrame:
-    """ST1: the stateless part; joins with snapshots and lists follow as stream-static joins of the same operators."""
-    return scan_text(human_messages(messages))
+class Static(NamedTuple):
+    """What a stream of messages is joined with: snapshots and lists as tables."""
+
+    snapshot: DataFrame
+    invites: DataFrame
+    domains: DataFrame
+    servers: DataFrame
+
+
+def stream_verdicts(messages: DataFrame, static: Static, folder: str, lateness_s: int = 600) -> str:
+    """Scores a stream of messages over what is there, micro-batch by micro-batch, and gives the folder of its sinks, `verdicts` and `late`.
+
+    A micro-batch is scored by the batch operators, joined with the static tables. The history of its users comes from the suspicious
+    messages of the last WINDOW_S seconds, which earlier batches have left in `suspicious`. Messages older than the newest of earlier
+    batches by more than lateness_s are not scored: they go to `late`. A batch that is run again writes its own folder again.
+    """
+    spark = messages.sparkSession
+    path = f"{folder}/verdicts-{uuid.uuid4().hex}"
+
+    def earlier(name: str, batch: int, schema: str) -> DataFrame:
+        """What the batches before left in a sink."""
+        kept = spark.read.schema(f"{schema}, batch long").option("pathGlobFilter", "*.parquet").parquet(f"{path}/{name}") if batch else spark.createDataFrame([], f"{schema}, batch long")
+        return kept.where(F.col("batch") < batch).drop("batch")
+
+    def each(rows: DataFrame, batch: int) -> None:
+        write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+        newest = earlier("clock", batch, "newest timestamp").agg(F.max("newest")).first()[0]
+        rows = stored(human_messages(rows))
+        late = F.lit(False) if newest is None else F.coalesce(F.col("ts") < F.lit(newest) - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {lateness_s})"), F.lit(False))
+        write(rows.where(late), "late")
+        write(rows.agg(F.greatest(F.max("ts"), F.lit(newest).cast("timestamp")).alias("newest")), "clock")
+        scanned = stored(scan_text(rows.where(~late)))
+        resolved = stored(resolve_urls(explode_candidates(scanned), static.snapshot))
+        direct = direct_invites(scanned)
+        found = lookup_invites(direct.unionByName(redirect_invites(resolved, direct)), static.invites)
+        scored = stored(risk.base_score(risk.message_flags(scanned, risk.url_flags(resolved, static.domains), risk.invite_flags(found, static.servers))))
+        own = scored.select("message_id", "user_id", "ts", "base_score").where("base_score > 0")
+        oldest = own.agg(F.min("ts")).first()[0]
+        past = earlier("suspicious", batch, "message_id long, user_id long, ts timestamp, base_score int")
+        if oldest is not None:
+            past = past.where(F.col("ts") >= F.lit(oldest) - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {WINDOW_S})"))
+        write(risk.verdicts(risk.with_history(scored, risk.user_history(past.unionByName(own)))), "verdicts")
+        write(own, "suspicious")
+
+    query = messages.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(each).start()
+    query.awaitTermination()
+    return path
 
 
 def quarantine(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +88,11 @@ def quarantine(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def stream_user_history(suspicious: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """For each suspicious message (user_id, message_id, ts) how many of the user's came in the window before. State: the stamps of the last window."""
+    """For each suspicious message (user_id, message_id, ts) how many of the user's came in the window before, as far as they have come by then.
+
+    State: the stamps that rows ahead of the watermark can still reach. A row that comes after newer ones of its user, but ahead of the
+    watermark, is counted and marked `late`; rows behind the watermark are dropped by Spark.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -47,34 +100,36 @@ def stream_user_history(suspicious: DataFrame, lateness: str = "10 minutes") ->
             return
         stamps = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "message_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            at = r.ts.timestamp()
-            late = bool(stamps) and at < stamps[-1]
-            earlier = sum(at - WINDOW_S <= s <= at for s in stamps)
-            out.append((r.message_id, key[0], r.ts, earlier, late))
-            if not late:
-                stamps = [s for s in stamps if at - s <= WINDOW_S] + [at]
+        at = rows["ts"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
+        newest = stamps[-1] if stamps else -np.inf
+        known = np.sort(np.concatenate([np.array(stamps, float), at]))
+        # Of rows of one instant the later ids count the earlier ones, which the sort has put before them.
+        same = np.arange(len(at)) - np.searchsorted(at, at)
+        earlier = np.searchsorted(np.array(stamps, float), at, "right") + np.searchsorted(at, at) + same - np.searchsorted(known, at - WINDOW_S)
+        out = pd.DataFrame({"message_id": rows["message_id"], "user_id": key[0], "ts": rows["ts"], "earlier": earlier.astype(np.int32), "late": at < newest})
+        behind = state.getCurrentWatermarkMs() / 1000
+        stamps = known[known >= min(behind, known[-1]) - WINDOW_S].tolist()
         state.update((stamps,))
         state.setTimeoutTimestamp(max(int((stamps[-1] + WINDOW_S) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in HISTORY.split(", ")])
+        yield out
 
-    rows = suspicious.where("user_id IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    rows = suspicious.where("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return rows.groupBy("user_id").applyInPandasWithState(step, HISTORY, HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_alert_suppression(actions: DataFrame) -> DataFrame:
-    """The cooldown fold with keyed state. State outlives the cooldown, since muted events are told by the key's next alert, however late."""
+def stream_alert_suppression(actions: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """The cooldown fold with keyed state. State outlives the cooldown, since muted events are told by the key's next alert, however late.
+
+    A row that comes after its key's last alert but is older than it is muted by that alert; rows behind the watermark are dropped by Spark.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, muted, users = state.get if state.exists else (None, 0, [])
         fold = Cooldown(last, muted, set(users))
-        rows = pd.concat(list(batches)).sort_values(["ts", "message_id"])
-        out = [(key[0], r.message_id, r.user_id, r.ts, *fold.step(r.ts.timestamp(), r.user_id)) for r in rows.itertuples(index=False)]
+        yield folded(pd.concat(list(batches)).sort_values(["ts", "message_id"]), key[0], fold)
         state.update((fold.last, fold.muted, sorted(fold.users)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
 
-    rows = actions.select("alert_key", "message_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows = actions.select("alert_key", "message_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).where("alert_key IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", lateness)
     return rows.groupBy("alert_key").applyInPandasWithState(step, ALERTS, COOLDOWN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
