@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._core import LOWER, Texts, column, grams, materialize, mix, per_row, slices, texts, unused, words
@@ -147,23 +147,25 @@ def unions(fronts: DataFrame) -> DataFrame:
 def shared_tokens(matrix: DataFrame) -> DataFrame:
     """a, b, size, overlap: for groups a, b of the same or neighbouring size classes how many tokens of the matrix they share.
 
-    matrix: distinct token, g, size, a table. A token and size class of many groups is a matrix of its own, cut into squares of SQUARE groups
-    a side, so that one key holds at most SQUARE ** 2 pairs, however frequent the token; no other token is sent twice but to its neighbour class.
+    matrix: distinct token, g, size, dealt out by token, which the join and the counts keep to. A token of more than SQUARE groups is a
+    matrix of its own, cut into squares of about SQUARE groups a side, so that one key holds at most SQUARE ** 2 pairs, however frequent
+    the token; only the rows of such tokens are sent once more.
     """
-    of = matrix.groupBy("token", F.col("size").alias("class")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SQUARE)
-    of = materialize(of.select("token", "class", F.ceil(F.col("n") / SQUARE).cast("int").alias("squares")))
-    # A pair is found in the smaller class of the two, which `a` always belongs to; b comes to its own class and to the one below.
-    classes = F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("class")
-    a = matrix.select("token", F.col("g").alias("a"), F.col("size").alias("class")).join(of, ["token", "class"], "left")
-    b = matrix.select("token", F.col("g").alias("b"), F.col("size").alias("size_b"), classes).join(of, ["token", "class"], "left")
-    squares = F.coalesce("squares", F.lit(1))
-    own = lambda c: F.pmod(F.xxhash64(c), squares).cast("int")
-    every = F.explode(F.sequence(F.lit(0), squares - 1))
+    counted = matrix.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token")))
+
+    def sides(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+        return rows.select("token", *keys, F.col("g").alias("a"), F.col("size").alias("size_a")), rows.select("token", *keys, F.col("g").alias("b"), F.col("size").alias("size_b"))
+
+    a, b = sides(counted.where(F.col("n") <= SQUARE))
+    shared = a.join(b, "token")
+    heavy = counted.where(F.col("n") > SQUARE).withColumn("squares", F.ceil(F.col("n") / SQUARE).cast("int"))
+    a, b = sides(heavy, "squares")
+    every = F.explode(F.sequence(F.lit(0), F.col("squares") - 1))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("squares")).cast("int")
     a = a.withColumn("row", own("a")).withColumn("column", every).drop("squares")
     b = b.withColumn("column", own("b")).withColumn("row", every).drop("squares")
-    shared = a.join(b, ["token", "class", "row", "column"]).where("size_b > class OR a < b")
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("class").alias("size")]
-    return shared.groupBy(*pair).agg(F.count(F.lit(1)).alias("overlap"))
+    shared = shared.unionByName(a.join(b, ["token", "row", "column"]).drop("row", "column")).where("a < b AND abs(size_a - size_b) <= 1")
+    return shared.groupBy("a", "b", F.least("size_a", "size_b").alias("size")).agg(F.count(F.lit(1)).alias("overlap"))
 
 
 def linked_forest(sizes: np.ndarray, tokens: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
@@ -270,7 +272,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     group = materialize(group.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
     fronts = described.select(F.col("doc_id").alias("rep"), "d1", "d2", "prefix").join(sets.select("rep", "d1", "d2", "g", "size"), ["rep", "d1", "d2"])
     matrix = unions(fronts.select("g", "size", "prefix")).repartition(F.col("token")).distinct()
-    bound = shared_tokens(materialize(matrix))
+    bound = shared_tokens(matrix)
     # The smallest set of a size class needs the least; the tiny term keeps rounding on the safe side.
     smallest = F.floor(F.pow(F.lit(step), "size") - 1e-6)
     need = F.least(F.ceil(percent * smallest / 100), overlap + F.floor(smallest / SLOPE))

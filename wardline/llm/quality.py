@@ -27,7 +27,7 @@ WINDOW = 5
 REPEAT_PERCENT = 20
 ORDER = 4
 #: Half a band, in median distances. The mean over few bytes or words varies more: a distance counts sqrt(1 + FEW / n) times less.
-WIDTH = 6.0
+WIDTH = 7.0
 FEW_BYTES, FEW_WORDS = 1000, 300
 #: A median distance is at least this share of the median, so that a language of a few alike documents has a band too.
 LEAST_SPREAD = 0.004
