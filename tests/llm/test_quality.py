@@ -21,3 +21,13 @@ def test_bands_reject_on_both_sides(spark):
     assert high.log10_perplexity > high.band_upper and not high.kept
     assert low.log10_perplexity < low.band_lower and not low.kept
     assert sum(got[i].kept for i in range(100)) >= 94
+
+
+def test_passage_in_another_language_is_kept(spark):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+    usual = {lang: [word(letters) for _ in range(300)] for lang, letters in (("en", "aeioulnrst"), ("de", "bcdfghjkmpvwxyzäöü"))}
+    rows = [(i, _text(rng, usual[lang]), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(i, _text(rng, usual["en"], 40) + ". " + _text(rng, usual["de"], 40), lang) for i, lang in ((200, "en"), (201, "de"))]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[200].kept and got[201].kept

@@ -1,11 +1,12 @@
 """Quality rules with n-gram perplexity bands.
 
 Counting rules come first. Then a modified Kneser-Ney model of byte ORDER-grams, case and symbols as they are, is counted by Spark
-over all documents, one model for each language that the table has. Its probabilities stand in sorted arrays of gram hashes. A model
-of at most MODEL_ENTRIES grams in all is sent to every task; a larger one stays in parts, and each chunk of documents asks for the
-grams it holds (`_lookup`), with the same results. A document whose perplexity for a byte or for a word is outside its language's
-band is rejected; a band is the median of the language's documents that pass the counting rules, give or take WIDTH times their
-median distance from it.
+over all documents. One model serves all languages, so that a document with a passage in another language of the table stays near its
+band: the bytes before a byte tell the model which language it reads. Its probabilities stand in sorted arrays of gram hashes. A model
+of at most MODEL_ENTRIES grams is sent to every task; a larger one stays in parts, and each chunk of documents asks for the
+grams it holds (`_lookup`), with the same results. Bands are those of each language: a document whose perplexity for a byte or for a
+word is outside its language's band is rejected; a band is the median of the language's documents that pass the counting rules, give or
+take WIDTH times their median distance from it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._core import SPACES, Texts, Words, column, covered, grams, materialize, mix, per_row, run_hash, slices, texts, unused, words
@@ -87,55 +88,36 @@ def byte_grams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return gram, row
 
 
-def model_of(lang: Column) -> Column:
-    """A language's number; null is a language of its own."""
-    return F.xxhash64(lang)
-
-
-def gram_keys(gram: np.ndarray, row: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """A hash of gram and language."""
-    return mix(gram + model.view(np.uint64)[row])
-
-
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """model, gram, n over all documents; a task sends sums."""
+    """gram, n over all documents; a task sends sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: dict[int, Tally] = {}
+        tally = Tally(HELD_GRAMS)
 
-        def rows(m: int) -> pa.RecordBatch:
-            gram, n = tallies[m].empty()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), m)), pa.array(gram.view(np.int64)), pa.array(n)], names=["model", "gram", "n"])
+        def rows() -> pa.RecordBatch:
+            gram, n = tally.empty()
+            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
         for batch in batches:
             for part in slices(batch, most=SLICE):
-                gram, row = byte_grams(texts(part.column("text")))
-                model = column(part, "model")
-                for m in np.unique(model).tolist():
-                    tallies.setdefault(m, Tally(HELD_GRAMS)).add(*np.unique(gram[(model == m)[row]], return_counts=True))
-                    if tallies[m].full:
-                        yield rows(m)
-            while sum(t.size for t in tallies.values()) > 4 * HELD_GRAMS:  # many languages
-                m = max(tallies, key=lambda m: tallies[m].size)
-                yield rows(m)
-                del tallies[m]
-        for m in list(tallies):
-            yield rows(m)
-
-    counted = docs.select("text", model_of(F.col("lang")).alias("model")).mapInArrow(count, "model long, gram long, n long")
-    return counted.groupBy("model", "gram").agg(F.sum("n").alias("n"))
+                tally.add(*np.unique(byte_grams(texts(part.column("text")))[0], return_counts=True))
+                if tally.full:
+                    yield rows()
+        yield rows()
+
+    return docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """model, gram, log10_p of all counted grams, by interpolated modified Kneser-Ney. counts: a table of model, gram, n.
+    """gram, log10_p of all counted grams, by interpolated modified Kneser-Ney. counts: a table of gram, n.
 
     Below the longest grams a count is that of the different bytes that precede. Every step is a grouping or a join by gram, so it
     holds a model of any size.
     """
-    level, levels = counts, [counts.select(F.lit(ORDER).alias("k"), "model", "gram", "n")]
+    level, levels = counts, [counts.select(F.lit(ORDER).alias("k"), "gram", "n")]
     for k in range(ORDER - 1, 0, -1):
-        level = level.groupBy("model", (F.col("gram") % (1 << 8 * k)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        levels.append(level.select(F.lit(k).alias("k"), "model", "gram", "n"))
+        level = level.groupBy((F.col("gram") % (1 << 8 * k)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels.append(level.select(F.lit(k).alias("k"), "gram", "n"))
     every = levels[0]
     for more in levels[1:]:
         every = every.unionByName(more)
@@ -143,20 +125,20 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     c = [F.greatest(F.lit(1), F.count_if(F.col("n") == i)).cast("double") for i in (1, 2, 3, 4)]
     y = c[0] / (c[0] + 2 * c[1])
     between = lambda x, low, high: F.least(F.lit(high), F.greatest(F.lit(low), x))
-    discounts = every.groupBy("k", "model").agg(
+    discounts = every.groupBy("k").agg(
         between(1 - 2 * y * c[1] / c[0], 0.05, 0.95).alias("d1"), between(2 - 3 * y * c[2] / c[1], 0.1, 1.9).alias("d2"), between(3 - 4 * y * c[3] / c[2], 0.15, 2.85).alias("d3")
     )
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    context = Window.partitionBy("k", "model", F.shiftright("gram", 8))  # at most 256 rows
-    terms = every.join(discounts, ["k", "model"]).withColumn("d", d)
+    context = Window.partitionBy("k", F.shiftright("gram", 8))  # at most 256 rows
+    terms = every.join(F.broadcast(discounts), "k").withColumn("d", d)
     terms = terms.withColumn("total", F.sum("n").over(context)).withColumn("left", F.sum("d").over(context))
-    terms = materialize(terms.select("k", "model", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("share")))
-    p = terms.where("k = 1").select("model", "gram", (F.col("own") + F.col("share") / 256).alias("p"))
+    terms = materialize(terms.select("k", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("share")))
+    p = terms.where("k = 1").select("gram", (F.col("own") + F.col("share") / 256).alias("p"))
     for k in range(2, ORDER + 1):
-        lower = p.select("model", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        lower = p.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
         upper = terms.where(F.col("k") == k).withColumn("suffix", F.col("gram") % (1 << 8 * (k - 1)))
-        p = upper.join(lower, ["model", "suffix"]).select("model", "gram", (F.col("own") + F.col("share") * F.col("lower")).alias("p"))
-    return p.select("model", "gram", F.log10("p").alias("log10_p"))
+        p = upper.join(lower, "suffix").select("gram", (F.col("own") + F.col("share") * F.col("lower")).alias("p"))
+    return p.select("gram", F.log10("p").alias("log10_p"))
 
 
 def hashed(model: DataFrame) -> DataFrame:
@@ -164,14 +146,13 @@ def hashed(model: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = mix(column(b, "gram").view(np.uint64) + column(b, "model").view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("log10_p").cast(pa.float64())], names=["key", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix(column(b, "gram").view(np.uint64)).view(np.int64)), b.column("log10_p").cast(pa.float64())], names=["key", "value"])
 
     return model.mapInArrow(each, "key long, value double")
 
 
 def _keys(part: pa.RecordBatch) -> np.ndarray:
-    return gram_keys(*byte_grams(texts(part.column("text"))), column(part, "model"))
+    return mix(byte_grams(texts(part.column("text")))[0])
 
 
 def judge(part: pa.RecordBatch, model: HashArrays) -> pa.RecordBatch:
@@ -179,7 +160,7 @@ def judge(part: pa.RecordBatch, model: HashArrays) -> pa.RecordBatch:
     t = texts(part.column("text"))
     got = counting_rules(t, words(t))
     gram, row = byte_grams(t)
-    p = model.get(gram_keys(gram, row, column(part, "model")))
+    p = model.get(mix(gram))
     size = np.bincount(row, minlength=part.num_rows)
     return pa.RecordBatch.from_arrays(
         [part.column("doc_id"), part.column("lang"), *(pa.array(got[c], pa.int64()) for c in COUNTS), pa.array(size, pa.int64()), pa.array(np.bincount(row, p, part.num_rows).astype(float))],
@@ -189,7 +170,7 @@ def judge(part: pa.RecordBatch, model: HashArrays) -> pa.RecordBatch:
 
 def document_stats(docs: DataFrame, model: DataFrame, entries: int = MODEL_ENTRIES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """The counts of each document and its n_grams and log10_p. model: a table of key, value."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), model_of(F.col("lang")).alias("model"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     if model.count() <= entries:
         table = model.toPandas()
         arrays = HashArrays.of(table["key"].to_numpy().view(np.uint64), table["value"].to_numpy())
@@ -215,7 +196,7 @@ def document_stats(docs: DataFrame, model: DataFrame, entries: int = MODEL_ENTRI
 def quality_rules(docs: DataFrame, width: float = WIDTH, entries: int = MODEL_ENTRIES) -> DataFrame:
     """One row per row of docs with the counts, base_failed, kept, the perplexities and their bands.
 
-    Null and empty texts have no words, so base_failed. A null language is one more language. Texts of any length are scored whole.
+    Null and empty texts have no words, so base_failed. A null language has a band of its own. Texts of any length are scored whole.
     An empty table gives no rows; repeated rows are judged alike; other columns of docs are ignored.
     """
     model = materialize(hashed(kneser_ney(materialize(gram_counts(docs)))))
