@@ -26,7 +26,9 @@ from ._core import materialize, slices
 TOKENS = 4096
 END_ID = 1
 BUCKET_PIECES = 8192
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
+#: Words that go to the tokenizer at once: its answers are far larger than their ids.
+RAW_BATCH = 4096
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: place: a piece's number among those of its task, which tells repeated rows apart.
 PIECES = PIECE + ", place long"
@@ -59,7 +61,10 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for k in range(0, len(texts), RAW_BATCH):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + RAW_BATCH], add_special_tokens=False)]
+        return out
 
     def learn(self, missing: list[str]) -> None:
         if len(self.chunks) + len(missing) > CACHE_ENTRIES:
