@@ -15,6 +15,7 @@ from .lm_scoring import lm_scoring
 from .mixing import Mix, mix_sources, taken_columns
 from .ngram_join import ngram_jaccard_join
 from .packing import best_fit_packing
+from .periodic_runs import periodic_runs
 from .quality import quality_rules
 from .substring_dedup import substring_dedup
 
@@ -53,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": over("pages", html_extract),
         "op9_language_id": over("documents", language_id),
         "op10_quality_rules": over("documents", quality_rules),
+        "op11_periodic_runs": over("documents", lambda docs: periodic_runs(docs, planted=True)),
     }
 
 
