@@ -17,6 +17,7 @@ from .ngram_join import ngram_jaccard_join
 from .packing import best_fit_packing
 from .periodic_runs import periodic_runs
 from .quality import quality_rules
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 
 #: The mix of the query: domains fall in weight, English weighs twice the other languages in every domain.
@@ -55,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": over("documents", language_id),
         "op10_quality_rules": over("documents", quality_rules),
         "op11_periodic_runs": over("documents", lambda docs: periodic_runs(docs, planted=True)),
+        "op13_spelling_variants": over("documents", lambda docs: spelling_variants(docs, altered=True)),
     }
 
 
