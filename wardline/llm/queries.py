@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .language_id import language_id
@@ -56,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": over("documents", language_id),
         "op10_quality_rules": over("documents", quality_rules),
         "op11_periodic_runs": over("documents", lambda docs: periodic_runs(docs, planted=True)),
+        "op12_embedding_dedup": over("embeddings", embedding_dedup),
         "op13_spelling_variants": over("documents", lambda docs: spelling_variants(docs, altered=True)),
     }
 
