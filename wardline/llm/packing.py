@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -170,14 +169,15 @@ def pack_pieces(pieces: DataFrame, limits: Limits = Limits(), bucket_pieces: int
     """Adds sequence_id and offset. pieces is read twice; pass a table or a checkpoint."""
     buckets = max(1, -(-pieces.count() // bucket_pieces))
 
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32", "place"], kind="stable")
-        bins, rows["offset"] = best_fit(rows["length"].to_numpy(), limits)
-        rows["sequence_id"] = (int(key[0]) << 32) + bins
-        return rows.drop(columns=["bucket", "place"])
+    def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        # Arrow keeps every long as it is; through pandas a column with a null would round the ids beside it.
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "place")])
+        bins, offset = best_fit(rows.column("length").to_numpy(), limits)
+        rows = rows.drop_columns(["bucket", "place"])
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offset))
 
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "place"), F.lit(buckets)).cast("int"))
-    return dealt.groupBy("bucket").applyInPandas(fill, PACKED)
+    return dealt.groupBy("bucket").applyInArrow(fill, PACKED)
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, limits: Limits = Limits()) -> DataFrame:
