@@ -51,7 +51,7 @@ TEMPLATES = (
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0"),
-    *((label, f"spdx license identifier {words}") for label, words in (("mit", "mit"), ("apache", "apache 2 0"), ("gpl", "gpl 2 0 only"), ("gpl", "gpl 2 0 or later"), ("gpl", "gpl 3 0 only"), ("gpl", "gpl 3 0 or later"), ("lgpl", "lgpl 2 1 only"), ("lgpl", "lgpl 2 1 or later"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"), ("mpl", "mpl 2 0"), ("cc-by", "cc by 4 0"), ("zlib", "zlib"), ("unlicense", "unlicense"))),
+    *((label, f"spdx license identifier {words}") for label, words in (("mit", "mit"), ("apache", "apache 2 0"), ("gpl", "gpl 2 0 only"), ("gpl", "gpl 2 0 or later"), ("gpl", "gpl 3 0 only"), ("gpl", "gpl 3 0 or later"), ("gpl", "gpl 2 0"), ("gpl", "gpl 3 0"), ("lgpl", "lgpl 2 0"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("agpl", "agpl 3 0"), ("lgpl", "lgpl 2 1 only"), ("lgpl", "lgpl 2 1 or later"), ("lgpl", "lgpl 3 0 only"), ("lgpl", "lgpl 3 0 or later"), ("agpl", "agpl 3 0 only"), ("agpl", "agpl 3 0 or later"), ("cc0", "cc0 1 0"), ("bsd", "0bsd"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"), ("mpl", "mpl 2 0"), ("cc-by", "cc by 4 0"), ("zlib", "zlib"), ("unlicense", "unlicense"))),
 )
 
 MIN_MATCH = 3
@@ -122,6 +122,27 @@ class Licences(NamedTuple):
     sizes: list[int]
     labels: list[str]
     phrases: dict[int, list[tuple[int, str]]]
+    endings: list[list[tuple[int, int, int, int]]]
+
+
+def template_endings(a: Automaton, sequences: list[list[int]]) -> list[list[tuple[int, int, int, int]]]:
+    """For each state every (template, place, length, next word) at which a match that has come to this state ends in a template.
+
+    A template's longest match may be a suffix of the state's strings: then its length is that of the suffix's state; 0 stands for the match as it is.
+    """
+    out: list[list[tuple[int, int, int, int]]] = []
+    for s in range(len(a.link)):
+        seen: set[tuple[int, int]] = set()
+        own = []
+        u = s
+        while u > 0 and a.length[u] >= MIN_MATCH:
+            for t, place in a.ends[u]:
+                if (t, place) not in seen:
+                    seen.add((t, place))
+                    own.append((t, place, 0 if u == s else a.length[u], sequences[t][place + 1] if place + 1 < len(sequences[t]) else -1))
+            u = a.link[u]
+        out.append(own)
+    return out
 
 
 def compile_licences(phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Licences:
@@ -141,7 +162,7 @@ def compile_licences(phrases: dict[str, str] = PHRASES, templates: tuple[tuple[s
         for c in sequence:
             s = automaton.next[s][c]
         found.setdefault(s, []).append((len(sequence), label))
-    return Licences(h[order], order, gate, automaton, [len(s) for s in sequences], [label for label, _ in lines], found)
+    return Licences(h[order], order, gate, automaton, [len(s) for s in sequences], [label for label, _ in lines], found, template_endings(automaton, sequences))
 
 
 def word_ids(h: np.ndarray, licences: Licences) -> np.ndarray:
@@ -160,13 +181,19 @@ class Found(NamedTuple):
 
 
 def matching_statistics(ids: list[int], first: int, licences: Licences, found: Found) -> None:
-    """Walks one stretch of licence words that starts at word `first`; adds base phrases (start, label) and maximal matches (template, its place, word, length)."""
+    """Walks one stretch of licence words that starts at word `first`; adds base phrases (start, label) and matches (template, its place, word, length).
+
+    The statistics are each template's own: a match is given where the template it lies in does not go on with the next word, whether others do or not.
+    """
     a = licences.automaton
     s = size = 0
-    for k, c in enumerate([*ids, -1]):
+    for k, c in enumerate([*ids, -2]):
+        if size >= MIN_MATCH:
+            for t, place, shorter, goes_on in licences.endings[s]:
+                if goes_on != c:
+                    n = shorter or size
+                    found.matches.append((t, place - n + 1, first + k - n, n))
         while s and c not in a.next[s]:
-            if size >= MIN_MATCH:
-                found.matches.extend((t, place - size + 1, first + k - size, size) for t, place in a.ends[s])
             s = a.link[s]
             size = a.length[s]
         if c in a.next[s]:
