@@ -8,6 +8,8 @@ gives an empty table at every stage.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,28 +25,46 @@ from wardline.llm.queries import DOMAINS, vocabulary
 MIX = Mix({**{(d,): w for d, w in DOMAINS.items()}, **{(d, "en"): 2.0 for d in DOMAINS}}, budget=0.8, max_epochs=2)
 #: At most 64 documents share a sequence.
 LIMITS = Limits(documents=64)
+#: Bytes of a batch between Spark and Python: each stage's batches come after those of the others in the same workers.
+BATCH_BYTES = 8 << 20
 
 
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with Arrow batches of at most BATCH_BYTES, whose buffers both sides of a task hold several times."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@bounded
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return keep_good(docs)
 
 
+@bounded
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each normalised text, that of the smallest id."""
     return keep_first_copies(docs)
 
 
+@bounded
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets of similarity 0.8 or more, that of the smallest id."""
     return keep_one_of_each(docs)
 
 
+@bounded
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mix_sources(docs, MIX).select(*docs.columns)
 
 
+@bounded
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences."""
     return best_fit_packing(docs, vocabulary(), LIMITS)
