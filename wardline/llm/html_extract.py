@@ -27,9 +27,15 @@ STEPS = 100
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 #: Elements of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img noscript object param".split())
+#: Formulas stand in the line, and so do their parts.
+INLINE |= frozenset("math annotation menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "select", "textarea", "title")
+#: What these hold is no text of the page, up to their end tag and, where there is none, to the end of the page.
+RAW = ("script", "style", "template", "iframe", "textarea", "title")
+#: These hold no text either, but end at a block of the page as well, and where the tag closes itself.
+DRAWN = ("svg", "select")
+BREAKS_OUT = "address article aside blockquote body center dd div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td th thead tr ul".split()
 #: Elements whose start closes an open p, and elements that close their own kind.
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -40,7 +46,9 @@ _ATTRIBUTES = r"""((?:"[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[^>"'])*+(?=>|\Z
 PLAIN = frozenset("html body div p span center font table tbody tr td pre blockquote h1 h2 h3 ul ol li".split())
 NOTICE_WORDS = frozenset("cookie cookies copyright rights reserved privacy terms policy subscribe newsletter login log sign share tweet follow advertisement sponsored comment comments reply menu home search related read more click".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRIBUTES + r"(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])" + _ATTRIBUTES.replace("(", "(?:", 1) + r"(?:>|\Z).*?(?:</\1\s*>|\Z)"
+    r"|<(" + "|".join(DRAWN) + r")(?=[\s/>])" + _ATTRIBUTES.replace("(", "(?:", 1) + r"(?:(?<=/)>|>(?:[^<]|<(?!/?(?:" + "|".join(BREAKS_OUT) + r")[\s/>]|/\2\s*>))*+(?:</\2\s*>)?|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRIBUTES + r"(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -116,27 +124,27 @@ def leaf_blocks(page: str) -> list[Block]:
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[4] or "").lower()
         if not tag:
-            if m[1]:  # a raw element holds no text of the page and parts what stands beside it only if it is no script
+            if m[1] or m[2]:  # a raw element holds no text of the page and parts what stands beside it only if it is no script
                 parts.append(" ")
             continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if m[3] else 1
             continue
         end()
-        if m[2]:
+        if m[3]:
             open_.close((tag,))
         else:
             if tag in CLOSES_P:
                 open_.close(("p",))
             if tag in CLOSES_SELF and open_.stack and open_.stack[-1][0] in CLOSES_SELF[tag]:
                 open_.close(CLOSES_SELF[tag])
-            if tag not in VOID and not (m[4] or "").endswith("/"):
-                names = [p for x in _NAMED.findall(m[4] or "") for p in _PART.findall("".join(x).lower())]
+            if tag not in VOID and not (m[5] or "").endswith("/"):
+                names = [p for x in _NAMED.findall(m[5] or "") for p in _PART.findall("".join(x).lower())]
                 open_.push(tag, tuple(names))
     if at < len(page):
         text(page[at:])
