@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 _U = np.uint64
@@ -181,6 +182,23 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Keys with a share of 1 / HOT of all rows or more are looked up under SPREAD keys each.
+HOT, SPREAD = 10_000, 64
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: list[str], spread_by: str, copies: str) -> DataFrame:
+    """rows joined to table on key; table has one row a key, and in `copies` how many of rows it stands for.
+
+    At most HOT keys stand for such a share that their rows meet the table under SPREAD keys each, dealt by spread_by; that list is broadcast.
+    """
+    total = table.agg(F.sum(copies)).first()[0] or 0
+    keys, salt = unused(rows, "spread"), unused(rows, "salt")
+    hot = F.broadcast(table.where(F.col(copies) > max(1, total // HOT)).select(*key, F.lit(SPREAD).alias(keys)))
+    dealt = rows.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(spread_by), F.coalesce(keys, F.lit(1))).cast("int")).drop(keys)
+    held = table.drop(copies).join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(keys) - 1, F.lit(0))))).drop(keys)
+    return dealt.join(held, [*key, salt]).drop(salt)
+
+
 #: 64 symbols of bytes: a-z 1-26 (A-Z alike), digits 27, full stop 28, comma 29, other ASCII 30, UTF-8 continuation bytes 31-54,
 #: lead bytes 55-62, white space 0.
 SYMBOL = np.full(256, 30, np.uint8)

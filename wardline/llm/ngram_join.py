@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._core import LOWER, Texts, column, grams, materialize, mix, per_row, slices, texts, unused, words
+from ._core import LOWER, Texts, column, grams, looked_up, materialize, mix, per_row, slices, texts, unused, words
 
 WORDS = 5
 PERCENT = 80
@@ -32,6 +32,7 @@ OVERLAP = 2
 SLOPE = 32
 SKETCH = 4
 SQUARE = 512
+LIST = 512
 
 
 def shingle_runs(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,13 +252,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets. Null, empty and wordless texts have no
     shingles and link with nothing; equal sets link; rows that repeat a doc_id are one document, whose texts all count for
-    its links. Null ids are dropped from linking and keep a null component. An empty table gives no rows.
+    its links. Rows without an id link with nothing and have a null component. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counts = token_counts(rows, n)
     described = materialize(document_sets(rows, n, percent, counts, overlap))
     key = ["d1", "d2", "n_shingles"]
-    sets = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    sets = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     sets = materialize(sets)
     popular = sets.groupBy(F.element_at("sketch", 1).alias("token")).agg(F.count(F.lit(1)).alias("n"))
     choice = sets.select("rep", F.explode("sketch").alias("token")).join(popular, "token", "left")
@@ -297,7 +298,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     members = placed.join(as_host.unionByName(as_left).unionByName(as_right), ["g", "part"]).select("rep", "cell", "side")
     as_guest = placed.select("rep", F.col("g").alias("guest")).join(pairs, "guest").join(across, "host")
     as_guest = as_guest.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), "chunks").cast("int")).select("rep", chunk.alias("cell"), F.lit(1).alias("side"))
-    wanted = members.unionByName(as_guest).groupBy("rep").agg(F.collect_list(F.struct("cell", "side")).alias("cells"))
+    # A set is made anew for each LIST of its cells, so that no row's list grows with a family.
+    lists = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("rep")) / LIST).cast("int")
+    wanted = members.unionByName(as_guest).withColumn("list", F.pmod(F.xxhash64("cell"), lists)).groupBy("rep", "list").agg(F.collect_list(F.struct("cell", "side")).alias("cells"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,9 +315,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     opened = opened.select("doc_id", "tokens", F.explode("cells").alias("c")).select("c.cell", "c.side", "doc_id", "tokens")
     found = components(materialize(open_cells(opened, percent)))
 
-    named = sets.join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = described.drop("prefix", "sketch").join(named, key, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = materialize(sets.join(found, F.col("rep") == F.col("node"), "left").select(*key, "copies", F.coalesce("component", "rep").alias("component_id")))
+    linked = described.drop("prefix", "sketch").where("n_shingles > 0 AND doc_id IS NOT NULL")
+    alone = described.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return looked_up(linked, named, key, "doc_id", "copies").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def keep_one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
