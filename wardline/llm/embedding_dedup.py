@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import column, materialize, mix
+from ._core import looked_up, materialize, mix
 from .ngram_join import components
 
 COSINE = 0.9
@@ -38,7 +38,6 @@ SIGNS = 256
 BLOCK = 1024
 #: A bucket of more balls is joined in squares of about this many a side.
 SQUARE = 2048
-HOT, SPREAD = 10_000, 64
 SEED = 20240611
 BYTES = 8 << 20
 _EDGE = 1e-9
@@ -266,12 +265,6 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     given = materialize(named.join(least, "component").select("cid", "n_links", "component_id").join(classes.select("cid", "sha", "copies"), "cid"))
 
-    # At most HOT classes hold a share of 1 / HOT of all rows or more; their rows meet them under SPREAD keys each.
-    total = given.agg(F.sum("copies")).first()[0] or 0
-    hot = given.where(F.col("copies") > max(1, total // HOT)).select("sha", F.lit(SPREAD).alias("spread"))
-    spread = lambda df: df.join(F.broadcast(hot), "sha", "left").withColumn("spread", F.coalesce("spread", F.lit(1)))
-    keyed = spread(rows.where("sha IS NOT NULL").select("vec_id", "sha")).withColumn("key", F.pmod(F.xxhash64("vec_id"), F.col("spread")).cast("int"))
-    held = spread(given).withColumn("key", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
-    out = keyed.join(held, ["sha", "key"]).select("vec_id", "n_links", "component_id")
+    out = looked_up(rows.where("sha IS NOT NULL").select("vec_id", "sha"), given, ["sha"], "vec_id", "copies").select("vec_id", "n_links", "component_id")
     alone = rows.where("sha IS NULL").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
