@@ -117,13 +117,18 @@ def count_phrases(sym: np.ndarray, begin: np.ndarray, end: np.ndarray, moves: np
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Parser:
     """Fits the parser on a bounded sample of each language's documents outside the held-out fold."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
-    own = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (fold != HELD_OUT)).select("doc_id", "lang", F.length("text").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = own.withColumn("rank", rank).where(F.col("rank") <= train_docs).drop("rank", "n").collect()
-    ids = sorted({r["doc_id"] for r in chosen})
-    got = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull()).select("doc_id", "lang", F.substring("text", 1, 4000).alias("text"), F.xxhash64("doc_id").alias("h")).collect() if ids else []
+    fit = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (fold != HELD_OUT)).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("same"))
+
+    def first(rows: DataFrame) -> DataFrame:
+        """At most train_docs rows of a language, also where ids repeat."""
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "same"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= train_docs)
+
+    ids = sorted({r["doc_id"] for r in first(fit.select("doc_id", "lang", "h", "same")).select("doc_id").collect()})
+    own = fit.where(F.col("doc_id").isin(ids)).withColumn("text", F.substring("text", 1, 4000))
+    got = first(own).select("lang", "text", "h", "doc_id", "rank").collect() if ids else []
     by: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["h"], r["doc_id"])):
+    for r in sorted(got, key=lambda r: (r["lang"], r["rank"])):
         by.setdefault(r["lang"], []).append(r["text"])
     most = min(TRAIN_SYMBOLS, max(64, ALL_SYMBOLS // max(1, len(by))))
     names, moves, checks = tuple(sorted(by)), [], []
