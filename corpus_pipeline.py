@@ -67,7 +67,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @bounded
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences."""
-    return best_fit_packing(docs, vocabulary(), LIMITS)
+    return best_fit_packing(docs, vocabulary(), LIMITS, keep_words=False)
 
 
 STAGES = [

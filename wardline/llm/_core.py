@@ -6,6 +6,7 @@ made per word. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+#: A slice's arrays take some forty times its bytes.
+SLICE_BYTES = 1 << 20
+_LIBC = ctypes.CDLL(None)
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -95,6 +98,13 @@ def texts(column: pa.Array) -> Texts:
     return Texts(data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64))
 
 
+def give_back() -> None:
+    """Frees what a worker's allocators hold and don't use: workers serve many stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc only
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of about `most` bytes of text; a longer single text is a slice of its own."""
     offsets = texts(batch.column(column)).offsets
@@ -103,6 +113,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
 
 
 class Words(NamedTuple):

@@ -9,34 +9,29 @@ one bucket, whatever the corpus; a bucket costs less than one bin over the best
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import materialize, slices
+from ._core import give_back, materialize, slices
 
 TOKENS = 4096
 END_ID = 1
 BUCKET_PIECES = 8192
-CACHE_ENTRIES = 200_000
-#: Words that go to the tokenizer at once: its answers are far larger than their ids.
+#: Chunks that a worker keeps in each of two generations.
+CACHE_ENTRIES = 150_000
+#: Chunks that go to the tokenizer at once: its answers are far larger than their ids.
 RAW_BATCH = 4096
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: place: a piece's number among those of its task, which tells repeated rows apart.
 PIECES = PIECE + ", place long"
 PACKED = PIECE + ", sequence_id long, offset long"
 
-#: The pre-tokenizer pattern of the vocabulary file.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_CHUNK = regex.compile(WORD_PATTERN)
-
 
 class Limits(NamedTuple):
     """Capacities of a bin, and the weight of each in the choice of a bin."""
@@ -48,52 +43,60 @@ class Limits(NamedTuple):
     rule: str = "norm"
 
 
+class Recent:
+    """Values of the keys used of late: those of two generations, of which the elder goes when the younger is full."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """Wanted keys without a value; the others are young from here on."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        rest = wanted - self.young.keys()
+        found = rest & self.old.keys()
+        self.young.update(zip(found, map(self.old.__getitem__, found), strict=True))
+        return rest - found
+
+
 class WordEncoder:
-    """Ids of a text by white-space chunks, which this kind of tokenizer never joins. Caches hold at most CACHE_ENTRIES each."""
+    """Ids of a text by white-space chunks, which this kind of tokenizer never joins."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(texts), RAW_BATCH):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + RAW_BATCH], add_special_tokens=False)]
-        return out
-
-    def learn(self, missing: list[str]) -> None:
-        if len(self.chunks) + len(missing) > CACHE_ENTRIES:
-            self.chunks = {}
-        parts, whole = {}, []
-        for chunk in missing:
-            if "<|" in chunk or not (chunk.isascii() or unicodedata.is_normalized("NFC", chunk) and "Σ" not in chunk and "İ" not in chunk):
-                whole.append(chunk)
-            else:
-                parts[chunk] = _CHUNK.findall(chunk.lower())
-        new = list({w for ws in parts.values() for w in ws} - self.words.keys())
-        if len(self.words) + len(new) > CACHE_ENTRIES:
-            self.words = {}
-            new = list({w for ws in parts.values() for w in ws})
-        self.words.update(zip(new, self._raw(new), strict=True))
-        get = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(get, ws))) for c, ws in parts.items())
-        self.chunks.update(zip(whole, self._raw(whole), strict=True))
+        self.chunks = Recent(CACHE_ENTRIES)
+
+    def _ids(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
+    def learn(self, missing: set[str]) -> None:
+        """Many chunks go to the tokenizer as one text; each token falls to the chunk in which it starts."""
+        special = [c for c in missing if "<|" in c]
+        self.chunks.young.update((c, np.array(self._ids(c).ids, "<u4").tobytes()) for c in special)
+        plain = list(missing.difference(special)) if special else list(missing)
+        for k in range(0, len(plain), RAW_BATCH):
+            some = plain[k : k + RAW_BATCH]
+            got = self._ids(" ".join(some))
+            size = np.array([len(c) + 1 for c in some])
+            starts = np.array([a for a, _ in got.offsets], np.int64)
+            bounds = (4 * np.searchsorted(starts, np.append(0, np.cumsum(size)))).tolist()
+            ids = np.array(got.ids, "<u4").tobytes()
+            self.chunks.young.update((c, ids[a:b]) for c, a, b in zip(some, bounds[:-1], bounds[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # These four separate words for str.split, not for the tokenizer.
         split = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else [] for t in texts]
-        missing = set().union(*split) - self.chunks.keys() if split else set()
+        missing = self.chunks.missing(set().union(*split)) if split else None
         if missing:
-            known = {c: self.chunks[c] for ws in split for c in ws if c in self.chunks} if len(self.chunks) + len(missing) > CACHE_ENTRIES else {}
-            self.learn(list(missing))
-            self.chunks.update(known)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, ws)) if ws or not t else self._raw([t])[0] for t, ws in zip(texts, split, strict=True)]
+            self.learn(missing)
+        get = self.chunks.young.__getitem__
+        return [b"".join(map(get, ws)) if ws or not t else np.array(self._ids(t).ids, "<u4").tobytes() for t, ws in zip(texts, split, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -105,8 +108,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece of at most `most` ids of each document; the document ends with end_id. Null text: empty."""
+def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end_id: int = END_ID, keep_words: bool = True) -> DataFrame:
+    """A row for each piece of at most `most` ids of each document; the document ends with end_id. Null text: empty.
+
+    A worker keeps the words it has met for its next task; without keep_words it forgets them and the tokenizer when a task ends.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +132,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end_id: i
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "place"],
                 )
+        if not keep_words:
+            _ENCODERS.clear()
+            give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -180,11 +189,11 @@ def pack_pieces(pieces: DataFrame, limits: Limits = Limits(), bucket_pieces: int
     return dealt.groupBy("bucket").applyInArrow(fill, PACKED)
 
 
-def best_fit_packing(docs: DataFrame, vocabulary: str, limits: Limits = Limits()) -> DataFrame:
+def best_fit_packing(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), keep_words: bool = True) -> DataFrame:
     """Packs every document into sequences of at most limits.tokens tokens; one row per piece.
 
     Only documents longer than that are cut. Null and empty texts are one end token; a very long text is as many pieces as it takes.
     Repeated rows and rows that repeat an id or have none are packed as often as they come. Pieces of one length go by id, piece and
     content; an empty table gives no rows; other columns are ignored.
     """
-    return pack_pieces(materialize(token_pieces(docs, vocabulary, limits.tokens)), limits)
+    return pack_pieces(materialize(token_pieces(docs, vocabulary, limits.tokens, keep_words=keep_words)), limits)

@@ -30,6 +30,8 @@ BLOCK = 1 << 14
 QUERIES = 1 << 11
 #: The query's rule deletes a code point of the runs whose checksum this number divides.
 RULE = 199
+#: Texts whose words are counted together.
+COUNT_BYTES = 4 << 20
 #: Runs of more bytes are summed one by one.
 SHORT = 64
 _LEAD = 0xC3  # of U+00C0 to U+00FF in UTF-8
@@ -96,7 +98,7 @@ def word_counts(docs: DataFrame, altered: bool = False) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=COUNT_BYTES):
                 yield _count(part, altered)
 
     return docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
