@@ -1,32 +1,29 @@
 """Continuous scans, user history and alert cooldown on Structured Streaming.
 
 The bot counts in processing time; here event time rules. Rows of a micro-batch are put in order of (ts, message_id) for
-each key, so a key's share of one micro-batch is held at once; `replay` bounds it.
+each key, so a key's share of one micro-batch is held at once; `replay` bounds it. Keyed state is in `state`.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from ..functions.extract import explode_candidates, scan_text
 from ..operators import risk
-from ..operators.alerts import ALERTS, Cooldown, folded
 from ..operators.resolve import direct_invites, lookup_invites, redirect_invites, resolve_urls
 from ..operators.risk import WINDOW_S
 from ..sources.store import stored
 from ..sources.tables import human_messages
+from .state import ROCKSDB, stream_alert_suppression, stream_user_history
 
-HISTORY = "message_id long, user_id long, ts timestamp, earlier int, late boolean"
-HISTORY_STATE = "stamps array<double>"
-COOLDOWN_STATE = "last double, muted int, users array<long>"
+__all__ = ["stream_alert_suppression", "stream_user_history"]
 #: Rows of a micro-batch of a replay, whatever the table's size.
 BATCH_ROWS = 100_000
 
@@ -87,50 +84,48 @@ def quarantine(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL")
 
 
-def stream_user_history(suspicious: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """For each suspicious message (user_id, message_id, ts) how many of the user's came in the window before, as far as they have come by then.
+def late_apart(messages: DataFrame, folder: str, stateful: Callable[[DataFrame, str], DataFrame], lateness_s: int = 600) -> tuple[DataFrame, DataFrame]:
+    """Runs a stateful stream over what is there, and gives its rows and the late ones: none of the stream's rows is lost.
 
-    State: the stamps that rows ahead of the watermark can still reach. A row that comes after newer ones of its user, but ahead of the
-    watermark, is counted and marked `late`; rows behind the watermark are dropped by Spark.
+    A stored clock, the newest time of the micro-batches before, parts each micro-batch ahead of the state: rows behind it by lateness_s or more go to
+    `late`, with the clock; rows without a time too. The others are the next micro-batch of the stateful stream, whose own watermark
+    stays a second behind the clock, so that it drops nothing. A micro-batch that is run again finds its part written and is not split anew.
     """
+    spark = messages.sparkSession
+    path = f"{folder}/late-{uuid.uuid4().hex}"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = lambda name, batch: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}-{batch}/_SUCCESS"))
+    source = messages.schema
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stamps = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "message_id"])
-        at = rows["ts"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
-        newest = stamps[-1] if stamps else -np.inf
-        known = np.sort(np.concatenate([np.array(stamps, float), at]))
-        # Of rows of one instant the later ids count the earlier ones, which the sort has put before them.
-        same = np.arange(len(at)) - np.searchsorted(at, at)
-        earlier = np.searchsorted(np.array(stamps, float), at, "right") + np.searchsorted(at, at) + same - np.searchsorted(known, at - WINDOW_S)
-        out = pd.DataFrame({"message_id": rows["message_id"], "user_id": key[0], "ts": rows["ts"], "earlier": earlier.astype(np.int32), "late": at < newest})
-        behind = state.getCurrentWatermarkMs() / 1000
-        stamps = known[known >= min(behind, known[-1]) - WINDOW_S].tolist()
-        state.update((stamps,))
-        state.setTimeoutTimestamp(max(int((stamps[-1] + WINDOW_S) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield out
-
-    rows = suspicious.where("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    return rows.groupBy("user_id").applyInPandasWithState(step, HISTORY, HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_alert_suppression(actions: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """The cooldown fold with keyed state. State outlives the cooldown, since muted events are told by the key's next alert, however late.
-
-    A row that comes after its key's last alert but is older than it is muted by that alert; rows behind the watermark are dropped by Spark.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, muted, users = state.get if state.exists else (None, 0, [])
-        fold = Cooldown(last, muted, set(users))
-        yield folded(pd.concat(list(batches)).sort_values(["ts", "message_id"]), key[0], fold)
-        state.update((fold.last, fold.muted, sorted(fold.users)))
-
-    rows = actions.select("alert_key", "message_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).where("alert_key IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", lateness)
-    return rows.groupBy("alert_key").applyInPandasWithState(step, ALERTS, COOLDOWN_STATE, "append", GroupStateTimeout.NoTimeout)
+    def each(rows: DataFrame, batch: int) -> None:
+        if not done("clock", batch):
+            newest = spark.read.schema("newest timestamp").parquet(f"{path}/clock-{batch - 1}").first()[0] if batch else None
+            rows = rows.persist()
+            behind = F.lit(newest).cast("timestamp") - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {lateness_s})")
+            late = F.col("ts").isNull() | F.coalesce(F.col("ts").cast("timestamp") <= behind, F.lit(False))
+            rows.where(~late).write.mode("overwrite").parquet(f"{path}/on-time/batch-{batch}")
+            rows.where(late).withColumn("clock", F.lit(newest).cast("timestamp")).write.mode("overwrite").parquet(f"{path}/late/batch-{batch}")
+            rows.agg(F.greatest(F.max(F.col("ts").cast("timestamp")), F.lit(newest).cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(f"{path}/clock-{batch}")
+            rows.unpersist()
+        # All files that are new are one micro-batch.
+        stream = spark.readStream.schema(source).option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").option("maxFileAge", "3650d").parquet(f"{path}/on-time")
+        _run(stateful(stream, f"{lateness_s + 1} seconds").writeStream.format("parquet").option("path", f"{path}/out"), f"{path}/state")
+
+    _run(messages.writeStream.foreachBatch(each), f"{path}/split")
+    out = stateful(spark.readStream.schema(source).parquet(f"{path}/on-time"), f"{lateness_s + 1} seconds").schema
+    late = spark.read.schema(StructType([*source.fields, StructField("clock", TimestampType())])).option("recursiveFileLookup", True).parquet(f"{path}/late")
+    return spark.read.schema(out).parquet(f"{path}/out"), late
+
+
+def _run(writer: DataStreamWriter, checkpoint: str) -> None:
+    """Runs a query over what is there, its state in RocksDB."""
+    conf, key = SparkSession.getActiveSession().conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, ROCKSDB)
+    try:
+        writer.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(key, before)
 
 
 def replay(table: DataFrame, order: str, folder: str, rows: int = BATCH_ROWS) -> DataFrame:
@@ -160,7 +155,5 @@ def _place(path) -> tuple[int, int]:
 def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs a stream over what is there, into a table in the folder, and reads it."""
     path = f"{folder}/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
-    query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(path)
-    query.awaitTermination()
+    _run(stream.writeStream.foreachBatch(each) if each else stream.writeStream.format("parquet").option("path", path), f"{path}-state")
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
