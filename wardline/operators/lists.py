@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import host_suffixes, normalize_domain
@@ -14,10 +14,14 @@ HIGH, LOW = 50, 10
 LISTS = ("allowlist", "blocklist")
 
 
+def normalized_value() -> Column:
+    """value of ops made regular; null if it is no domain or id."""
+    return F.when(F.col("entry_type") == "domain", normalize_domain(F.col("value"))).otherwise(F.trim("value").try_cast("bigint").cast("string"))
+
+
 def normalized_ops(ops: DataFrame) -> DataFrame:
     """ops (seq, ts, entry_type, list_name, action, value) with value made regular; null if it is no domain or id."""
-    value = F.when(F.col("entry_type") == "domain", normalize_domain(F.col("value"))).otherwise(F.trim("value").try_cast("bigint").cast("string"))
-    return ops.withColumn("value", value)
+    return ops.withColumn("value", normalized_value())
 
 
 def rejected_ops(ops: DataFrame) -> DataFrame:
@@ -41,11 +45,11 @@ def apply_list_ops(ops: DataFrame) -> DataFrame:
     return last.where("present").drop("present")
 
 
-#: Parts of the rows' time span; a value's rows and edits of one part meet in one window.
-TIME_PARTS = 64
+#: Rows of a value that one window takes, if they are even over time: the time span has as many parts as the commonest value needs.
+PART_ROWS = 50_000
 
 
-def lists_as_of(rows: DataFrame, ops: DataFrame, value: str, ts: str, entry_type: str) -> DataFrame:
+def lists_as_of(rows: DataFrame, ops: DataFrame, value: str, ts: str, entry_type: str, part_rows: int = PART_ROWS) -> DataFrame:
     """rows with list_name for each list that holds their value at their time, null if none does; an edit counts from its own second on.
 
     Rows and edits go through one window in order of time (ops are in order of seq and time alike), so the work grows with both, not with
@@ -55,12 +59,14 @@ def lists_as_of(rows: DataFrame, ops: DataFrame, value: str, ts: str, entry_type
     edits = _effects(ops).where(F.col("entry_type") == entry_type).select("value", "list_name", F.unix_micros("ts").alias("us"), "seq", "present")
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     low, high = rows.agg(F.min(us), F.max(us)).first()
-    low, width = low or 0, ((high or 0) - (low or 0)) // TIME_PARTS + 1
-    part = F.greatest(F.lit(-1), F.least(F.lit(TIME_PARTS), F.floor((F.col("us") - low) / width))).cast("int")
-    edits = edits.withColumn("part", part).where(F.col("part") < TIME_PARTS)
+    most = rows.groupBy(F.col(value).cast("string")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-most // part_rows) or 1
+    low, width = low or 0, ((high or 0) - (low or 0)) // parts + 1
+    part = F.greatest(F.lit(-1), F.least(F.lit(parts), F.floor((F.col("us") - low) / width))).cast("int")
+    edits = edits.withColumn("part", part).where(F.col("part") < parts)
     ends = edits.groupBy("value", "list_name", "part").agg(F.max_by("present", F.struct("us", "seq")).alias("present"))
     after = F.lead("part").over(Window.partitionBy("value", "list_name").orderBy("part"))  # at most a row for each part
-    carried = ends.withColumn("to", F.coalesce(after, F.lit(TIME_PARTS - 1))).where("present AND part < to")
+    carried = ends.withColumn("to", F.coalesce(after, F.lit(parts - 1))).where("present AND part < to")
     carried = carried.select("value", "list_name", F.explode(F.expr("sequence(part + 1, to)")).alias("part"), F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("bigint").alias("seq"), F.lit(True).alias("present"))
     changes = edits.where("part >= 0").select("value", "list_name", "part", "us", "seq", "present").unionByName(carried)
     nothing = {"list_name": F.lit(None).cast("string"), "seq": F.lit(None).cast("bigint"), "present": F.lit(None).cast("boolean")}

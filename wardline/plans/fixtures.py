@@ -51,6 +51,20 @@ def ops_sql() -> str:
         CASE WHEN event_id % 4 = 3 THEN CAST(event_id % 17 AS VARCHAR(9)) ELSE concat('h', CAST(event_id % 13 AS VARCHAR(9)), '.example.com') END AS value FROM events"""
 
 
+def list_edits_sql() -> str:
+    """Edits of the lists that verdicts go by: the same domains and servers as in domain_list and server_list come and go, at times on the other list."""
+    n = "CAST((event_id - event_id % 100) / 100 AS BIGINT)"
+    round_ = "CAST((event_id - event_id % 600) / 600 AS BIGINT)"
+    value = f"CASE {n} % 6 WHEN 0 THEN 'blocked.example.com' WHEN 1 THEN 'allowed.example.com' WHEN 2 THEN 'site7.example.com' WHEN 3 THEN '40' WHEN 4 THEN '10' ELSE '20' END"
+    return f"""SELECT event_id AS seq, {T0} + event_id * 7 AS epoch, CASE WHEN {n} % 6 < 3 THEN 'domain' ELSE 'server' END AS entry_type,
+        CASE WHEN ({n} % 3 = 0) = ({round_} % 5 < 3) THEN 'blocklist' ELSE 'allowlist' END AS list_name, CASE WHEN {round_} % 3 = 2 THEN 'remove' ELSE 'add' END AS action, {value} AS value
+        FROM events WHERE event_id % 100 = 3"""
+
+
+def list_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, list_edits_sql()).withColumn("ts", F.timestamp_seconds("epoch"))
+
+
 def _view(spark: SparkSession, sf_dir: str, sql: str, events: DataFrame | None = None) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events
     return spark.sql(sql.replace("FROM events", "FROM {events}").replace("chr(12290)", "'。'").replace("chr(8203)", "'​'"), events=events)

@@ -67,8 +67,24 @@ def _distinct(lists: str) -> str:
     return f"list_sort(list_distinct({lists}))"
 
 
-def scan_tables() -> str:
-    """The steps from messages to flags as common tables m, resolved, found, flags."""
+def _held(value: str, name: str, kind: str) -> str:
+    """Whether a list holds a value, or for domains a parent of it, at the message's time."""
+    same = f"({value} = h.value OR ends_with({value}, '.' || h.value))" if kind == "domain" else f"CAST({value} AS VARCHAR) = h.value"
+    return f"EXISTS (SELECT 1 FROM held h WHERE h.list_name = '{name}' AND h.entry_type = '{kind}' AND {same} AND h.since <= epoch AND epoch < h.upto)"
+
+
+def held_lists() -> str:
+    """since and upto of each stay of a value on a list, as common table held."""
+    ops = f"({X.list_edits_sql()})"
+    effects = f"""SELECT seq, epoch, entry_type, value, list_name, action = 'add' AS present FROM {ops}
+        UNION ALL SELECT seq, epoch, entry_type, value, CASE WHEN list_name = 'allowlist' THEN 'blocklist' ELSE 'allowlist' END, false FROM {ops} WHERE action = 'add'"""
+    return f"""held AS (SELECT * FROM (SELECT entry_type, value, list_name, epoch AS since, coalesce(lead(epoch) OVER (PARTITION BY entry_type, value, list_name ORDER BY seq), CAST(1 AS BIGINT) << 60) AS upto, present FROM ({effects})) WHERE present)"""
+
+
+def scan_tables(as_of: bool = False) -> str:
+    """The steps from messages to flags as common tables m, resolved, found, flags; with the lists of each message's time, or fixed ones."""
+    on = (lambda d, name, entries: _held(d, name, "domain")) if as_of else (lambda d, name, entries: _on(d, entries))
+    blocked, allowed = (_held("guild_id", "blocklist", "server"), _held("guild_id", "allowlist", "server")) if as_of else ("guild_id = 40", "guild_id IN (10, 20)")
     site = "(SELECT count(*) + (count(*) + 1) % 2 FROM pages)"
     urls = " UNION ALL ".join(
         f"SELECT message_id, {pos}::INTEGER AS pos, {_filled(url)} AS url, {_list('url_found ' + signals)} AS signals FROM m WHERE kind = {kind}" for kind, (found, *_) in KINDS.items() for pos, (url, signals) in enumerate(found)
@@ -78,6 +94,7 @@ def scan_tables() -> str:
     script = lambda i, tail, other: "CASE what " + " ".join(f"WHEN {at} THEN {tail(parts[i])}" for at, parts in SCRIPTS.items()) + f" ELSE {other} END"
     text = lambda x: f"'{x}'" if x else "NULL"
     return f"""
+    {held_lists() + "," if as_of else ""}
     m AS (
         SELECT message_id, epoch, user_id, created, content, message_id % 16 AS kind, message_id % 13 AS k, message_id % {site} AS n
         FROM ({X.messages_sql(site)}) WHERE NOT author_is_bot AND guild_id IS NOT NULL
@@ -113,15 +130,15 @@ def scan_tables() -> str:
             {_distinct("list(CASE WHEN NOT has_invite AND allowed THEN shown END)")} AS allowed_domains, {_distinct("flatten(list([original_domain, final_domain]))")} AS review_domains,
             list_distinct(flatten(list(signals))) AS url_signals
         FROM (
-            SELECT *, final_invite_url IS NOT NULL AS has_invite, coalesce(final_domain, original_domain) AS shown, {_on('coalesce(final_domain, original_domain)', ('allowed.example.com', 'site7.example.com'))} AS allowed,
-                {_on('original_domain', ('blocked.example.com',))} AS blocked_original, {_on('final_domain', ('blocked.example.com',))} AS blocked_final
-            FROM resolved
+            SELECT *, final_invite_url IS NOT NULL AS has_invite, coalesce(final_domain, original_domain) AS shown, {on('coalesce(final_domain, original_domain)', 'allowlist', ('allowed.example.com', 'site7.example.com'))} AS allowed,
+                {on('original_domain', 'blocklist', ('blocked.example.com',))} AS blocked_original, {on('final_domain', 'blocklist', ('blocked.example.com',))} AS blocked_final
+            FROM resolved JOIN (SELECT message_id, epoch FROM m) USING (message_id)
         ) GROUP BY message_id
     ),
     invites AS (
-        SELECT message_id, count(*) AS n_invites, bool_or(NOT known) AS invite_unresolved, bool_and(coalesce(guild_id IN (10, 20), false)) AS invites_allowed,
-            {_distinct('list(CASE WHEN guild_id = 40 THEN guild_id END)')} AS blocked_servers, {_distinct('list(CASE WHEN guild_id IN (10, 20) THEN guild_id END)')} AS allowed_servers, {_distinct('list(guild_id)')} AS review_servers
-        FROM found GROUP BY message_id
+        SELECT message_id, count(*) AS n_invites, bool_or(NOT known) AS invite_unresolved, bool_and(coalesce(is_allowed, false)) AS invites_allowed,
+            {_distinct('list(CASE WHEN is_blocked THEN guild_id END)')} AS blocked_servers, {_distinct('list(CASE WHEN is_allowed THEN guild_id END)')} AS allowed_servers, {_distinct('list(guild_id)')} AS review_servers
+        FROM (SELECT *, {blocked} AS is_blocked, {allowed} AS is_allowed FROM found JOIN (SELECT message_id, epoch FROM m) USING (message_id)) GROUP BY message_id
     ),
     flags AS (
         SELECT *, len(list_intersect(signals, ['embedded_invite', 'percent_decoding', 'base64_payload_detected', 'decoded_destination'])) > 0 AS hidden_payload,
@@ -140,11 +157,11 @@ def scan_tables() -> str:
     )"""
 
 
-def verdict_tables() -> str:
+def verdict_tables(as_of: bool = False) -> str:
     total = " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for c, w, _ in WEIGHTS)
     reasons = ", ".join([*(f"CASE WHEN {c} THEN '{text}' END" for c, _, text in WEIGHTS), f"CASE WHEN again THEN '{REPEAT[1]}' END", f"CASE WHEN young THEN '{NEW_ACCOUNT[1]}' END"])
     blocks = " ".join(f"WHEN {c} THEN '{text}'" for c, text in BLOCKS)
-    return f"""{scan_tables()},
+    return f"""{scan_tables(as_of)},
     scored AS (SELECT *, CASE WHEN stage = 'score' THEN {total} ELSE 0 END AS base FROM (
         SELECT *, CASE WHEN n_urls + n_invites = 0 THEN 'ignore' WHEN to_invite OR blocked_domain OR blocked_server OR interstitial THEN 'block'
             WHEN n_invites > 0 AND invites_allowed AND urls_allowed THEN 'allow' ELSE 'score' END AS stage FROM flags)),
@@ -212,6 +229,7 @@ def sql() -> dict[str, str]:
         "resolved_urls": f"""WITH {scan_tables()} SELECT message_id, pos, original_url, normalized_url, final_url, original_domain, final_domain, resolved, {joined('signals')}, false AS redirected, html_redirect_detected,
             final_invite_url, coalesce(final_invite_url, '') AS embedded_invites, suspicious_redirector, false AS suspicious_interstitial, status_code, error FROM resolved""",
         "verdicts": f"WITH {verdict_tables()} SELECT message_id, user_id, epoch AS ts, verdict, {', '.join(arrays)}, score, alert_level FROM verdicts",
+        "verdicts_as_of": f"WITH {verdict_tables(True)} SELECT message_id, user_id, epoch AS ts, verdict, {', '.join(arrays)}, score, alert_level FROM verdicts",
         "verdict_counts": f"WITH {verdict_tables()} SELECT verdict, alert_level, count(*) AS messages, CAST(sum(score) AS BIGINT) AS score FROM verdicts GROUP BY ALL",
         "scan_summaries": f"""WITH {scan_tables()} SELECT message_id, (SELECT count(*) FROM resolved r WHERE r.message_id = m.message_id) AS n_urls, {number('direct')} AS n_invites, {number('redirect')} AS n_redirect_invites,
             coalesce((SELECT array_to_string(list(coalesce(final_domain, original_domain) ORDER BY pos), '|') FROM resolved r WHERE r.message_id = m.message_id), '') AS domains,

@@ -45,6 +45,12 @@ def all_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(scan(spark, sf)["verdicts"].drop("content"))
 
 
+def verdicts_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts by the lists as they stood at each message's time, while edits come in between messages."""
+    s = scan(spark, sf)
+    return _flat(risk.score_messages_as_of(s["scanned"], s["resolved"], X.stored(s["invites"]), X.stored(X.list_edits(spark, sf))).drop("content"))
+
+
 def resolved_urls(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(scan(spark, sf)["resolved"])
 
@@ -276,6 +282,7 @@ def queries() -> dict[str, Query]:
         "stream_verdict_counts": stream_verdict_counts,
         "verdict_counts": verdict_counts,
         "verdicts": all_verdicts,
+        "verdicts_as_of": verdicts_as_of,
         "resolved_urls": resolved_urls,
         "scan_reports": reports,
         "scan_summaries": summaries,
