@@ -27,6 +27,8 @@ MIX = Mix({**{(d,): w for d, w in DOMAINS.items()}, **{(d, "en"): 2.0 for d in D
 LIMITS = Limits(documents=64)
 #: Bytes of a batch between Spark and Python: each stage's batches come after those of the others in the same workers.
 BATCH_BYTES = 8 << 20
+#: Chunks that packing keeps, for the length of a task: other stages run in its workers.
+KEPT = 100_000
 
 
 def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -67,7 +69,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @bounded
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences."""
-    return best_fit_packing(docs, vocabulary(), LIMITS, keep_words=False)
+    return best_fit_packing(docs, vocabulary(), LIMITS, kept=KEPT)
 
 
 STAGES = [

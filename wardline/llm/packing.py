@@ -23,8 +23,10 @@ from ._core import give_back, materialize, slices
 TOKENS = 4096
 END_ID = 1
 BUCKET_PIECES = 8192
-#: Chunks that a worker keeps in each of two generations.
-CACHE_ENTRIES = 150_000
+#: Chunks that a worker keeps in each of two generations, of about 200 bytes each.
+KEPT = 500_000
+#: What the vocabulary puts behind a word's last token, and signs that are words of their own behind letters.
+WORD_END, SIGNS = "</w>", ".,;:!?)"
 #: Chunks that go to the tokenizer at once: its answers are far larger than their ids.
 RAW_BATCH = 4096
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -64,29 +66,51 @@ class Recent:
 class WordEncoder:
     """Ids of a text by white-space chunks, which this kind of tokenizer never joins."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = Recent(CACHE_ENTRIES)
+        self.chunks = Recent(kept)
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
 
     def _ids(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
 
     def learn(self, missing: set[str]) -> None:
-        """Many chunks go to the tokenizer as one text; each token falls to the chunk in which it starts."""
-        special = [c for c in missing if "<|" in c]
-        self.chunks.young.update((c, np.array(self._ids(c).ids, "<u4").tobytes()) for c in special)
-        plain = list(missing.difference(special)) if special else list(missing)
+        """Many chunks go to the tokenizer as one text, and their tokens are told apart.
+
+        A chunk of ASCII letters is one word, and one with a sign behind them is two, so that counting ends of words tells them apart. In other
+        chunks each token falls to the one in which it starts.
+        """
+        one, two, other = [], [], []
+        for c in missing:
+            if c.isascii():
+                if c.isalpha():
+                    one.append(c)
+                    continue
+                if c[-1] in SIGNS and c[:-1].isalpha():
+                    two.append(c)
+                    continue
+            other.append(c)
+        for some, n in ((one, 1), (two, 2)):
+            for k in range(0, len(some), RAW_BATCH):
+                part = some[k : k + RAW_BATCH]
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                self._cut(part, ids, np.append(0, np.flatnonzero(self.ends[ids])[n - 1 :: n] + 1))
+        self.chunks.young.update((c, np.array(self._ids(c).ids, "<u4").tobytes()) for c in other if "<|" in c)
+        plain = [c for c in other if "<|" not in c]
         for k in range(0, len(plain), RAW_BATCH):
-            some = plain[k : k + RAW_BATCH]
-            got = self._ids(" ".join(some))
-            size = np.array([len(c) + 1 for c in some])
+            part = plain[k : k + RAW_BATCH]
+            got = self._ids(" ".join(part))
             starts = np.array([a for a, _ in got.offsets], np.int64)
-            bounds = (4 * np.searchsorted(starts, np.append(0, np.cumsum(size)))).tolist()
-            ids = np.array(got.ids, "<u4").tobytes()
-            self.chunks.young.update((c, ids[a:b]) for c, a, b in zip(some, bounds[:-1], bounds[1:], strict=True))
+            self._cut(part, np.array(got.ids, "<u4"), np.searchsorted(starts, np.append(0, np.cumsum([len(c) + 1 for c in part]))))
+
+    def _cut(self, chunks: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+        data, at = ids.tobytes(), (4 * bounds).tolist()
+        self.chunks.young.update((c, data[a:b]) for c, a, b in zip(chunks, at[:-1], at[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -99,24 +123,24 @@ class WordEncoder:
         return [b"".join(map(get, ws)) if ws or not t else np.array(self._ids(t).ids, "<u4").tobytes() for t, ws in zip(texts, split, strict=True)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, kept: int) -> WordEncoder:
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS[path, kept] = WordEncoder(path, kept)
+    return _ENCODERS[path, kept]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end_id: int = END_ID, keep_words: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end_id: int = END_ID, kept: int = KEPT) -> DataFrame:
     """A row for each piece of at most `most` ids of each document; the document ends with end_id. Null text: empty.
 
-    A worker keeps the words it has met for its next task; without keep_words it forgets them and the tokenizer when a task ends.
+    A worker keeps `kept` chunks of late for its next task; fewer than KEPT are forgotten, with the tokenizer, when a task ends.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, kept).encode
         place = 0
         for batch in batches:
             for part in slices(batch):
@@ -132,7 +156,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end_id: i
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "place"],
                 )
-        if not keep_words:
+        if kept < KEPT:
             _ENCODERS.clear()
             give_back()
 
@@ -189,11 +213,11 @@ def pack_pieces(pieces: DataFrame, limits: Limits = Limits(), bucket_pieces: int
     return dealt.groupBy("bucket").applyInArrow(fill, PACKED)
 
 
-def best_fit_packing(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), keep_words: bool = True) -> DataFrame:
+def best_fit_packing(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), kept: int = KEPT) -> DataFrame:
     """Packs every document into sequences of at most limits.tokens tokens; one row per piece.
 
     Only documents longer than that are cut. Null and empty texts are one end token; a very long text is as many pieces as it takes.
     Repeated rows and rows that repeat an id or have none are packed as often as they come. Pieces of one length go by id, piece and
     content; an empty table gives no rows; other columns are ignored.
     """
-    return pack_pieces(materialize(token_pieces(docs, vocabulary, limits.tokens, keep_words=keep_words)), limits)
+    return pack_pieces(materialize(token_pieces(docs, vocabulary, limits.tokens, kept=kept)), limits)
