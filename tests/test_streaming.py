@@ -87,6 +87,48 @@ def test_stream_verdicts_equal_batch(spark, messages, tmp_path):
     assert spark.read.parquet(f"{path}/late").count() == 0
 
 
+def edits(spark):
+    """bad.example.net is blocked until a third of the messages have come, and again for the last third; 456 is allowed all the time but a minute."""
+    at = lambda n: T0 + datetime.timedelta(seconds=40 * n)
+    rows = [(1, at(-9), "domain", "blocklist", "add", "bad.example.net"), (2, at(-9), "server", "allowlist", "add", "456"), (3, at(20), "domain", "blocklist", "remove", "bad.example.net"), (4, at(26), "server", "blocklist", "add", "456"), (5, at(27), "server", "allowlist", "add", "456"), (6, at(40), "domain", "blocklist", "add", "BAD.example.net/")]
+    return spark.createDataFrame(rows, "seq long, ts timestamp, entry_type string, list_name string, action string, value string")
+
+
+def test_killed_stream_gives_the_batch_result(spark, messages, tmp_path, monkeypatch):
+    """The stream ends between two writes of its second micro-batch and is started again: verdicts, alerts and events are those of one batch."""
+    from wardline.operators.alerts import alert_payload, split_main_quiet, with_actions
+
+    table = jobs.stored(edits(spark))
+    fixed = static(spark)._replace(edits=lambda: table)
+    source, path, whole = jobs.replay(messages, "message_id", str(tmp_path), 20), str(tmp_path / "sinks"), jobs.write_batch
+    failed = []
+
+    def fails(df, path, name, batch, ts=None):
+        if (name, batch) == ("quiet", 1) and not failed:
+            failed.append(name)
+            raise RuntimeError("killed")
+        whole(df, path, name, batch, ts)
+
+    monkeypatch.setattr(jobs, "write_batch", fails)
+    with pytest.raises(Exception, match="killed"):
+        jobs.stream_verdicts(source, fixed, "", path=path, alerts=True)
+    jobs.stream_verdicts(source, fixed, "", path=path, alerts=True)
+    scanned = jobs.stored(scan_text(human_messages(messages)))
+    resolved = jobs.stored(resolve_urls(explode_candidates(scanned), fixed.snapshot))
+    found = jobs.stored(lookup_invites(direct_invites(scanned), fixed.invites))
+    want = jobs.stored(risk.score_messages_as_of(scanned, resolved, found, table))
+    columns = ["message_id", "verdict", "score", "reasons", "matched_domains", "matched_server_ids", "alert_level"]
+    read = lambda name, df, columns: (sorted(map(repr, spark.read.parquet(f"{path}/{name}").select(columns).collect())), sorted(map(repr, df.select(columns).collect())))
+    got, all_ = read("verdicts", want, columns)
+    assert got == all_ and len({r.verdict for r in want.where("content LIKE '%bad%'").collect()}) == 2 and len({r.verdict for r in want.where("content LIKE '%fine%'").collect()}) == 2
+    actions = jobs.stored(with_actions(want))
+    for name, df in zip(("main", "quiet"), split_main_quiet(alert_payload(suppress_alerts(actions), actions)), strict=True):
+        got, all_ = read(name, df, ["alert_key", "message_id", "title", "note", "score"])
+        assert got == all_ and got and (name == "quiet" or any("Suppressed" in r for r in got))
+    got, all_ = read("events", actions, ["message_id", "action", "score"])
+    assert got == all_ and failed
+
+
 def test_late_messages_go_to_their_own_table(spark, messages, tmp_path):
     late = F.col("message_id").isin(50, 57)
     moved = messages.withColumn("place", F.col("message_id")).withColumn("ts", F.when(late, F.col("ts") - F.expr("interval 1 hour")).otherwise(F.col("ts")))

@@ -211,7 +211,8 @@ def sql() -> dict[str, str]:
     by_kind = lambda i: "CASE kind " + " ".join(f"WHEN {kind} THEN '{'|'.join(sorted(parts[i].split()))}'" for kind, parts in KINDS.items()) + " END"
     hidden = "kind IN (" + ", ".join(str(kind) for kind, parts in KINDS.items() if parts[2]) + ")"
     colour = "CASE verdict WHEN 'block' THEN 'red' WHEN 'review_high' THEN 'orange' ELSE 'yellow' END"
-    emitted = f"""{cooldown('SELECT * FROM verdict_actions', f'{verdict_tables()}, {acts}')}, shown AS (SELECT a.*, v.* EXCLUDE (alert_key, message_id), {colour} AS colour FROM alerts a JOIN verdict_actions v USING (message_id) WHERE emitted)"""
+    shown_by = lambda as_of=False: f"""{cooldown('SELECT * FROM verdict_actions', f'{verdict_tables(as_of)}, {acts}')}, shown AS (SELECT a.*, v.* EXCLUDE (alert_key, message_id), {colour} AS colour FROM alerts a JOIN verdict_actions v USING (message_id) WHERE emitted)"""
+    emitted = shown_by()
     cut = lambda x, n=1024: f"(SELECT CASE WHEN length(t) > {n} THEN concat(t[1:{n - 3}], '...') ELSE t END FROM (SELECT {x} AS t))"
     field = lambda lists: cut(f"coalesce(nullif(array_to_string({lists}, chr(10)), ''), 'none')")
     flags = "concat_ws('/', CASE WHEN html_redirect_detected THEN 'html-redirect' END, 'invite ' || final_invite_url)"
@@ -226,6 +227,7 @@ def sql() -> dict[str, str]:
         "scan_reports": report,
         "stream_verdict_counts": f"WITH {verdict_tables()} SELECT verdict, alert_level, count(*) AS messages, CAST(sum(score) AS BIGINT) AS score FROM verdicts GROUP BY ALL",
         "alert_channels": f"{emitted} SELECT alert_level AS channel, colour, count(*) AS alerts FROM shown GROUP BY ALL",
+        "stream_alert_channels": f"{shown_by(True)} SELECT alert_level AS channel, colour, count(*) AS alerts FROM shown GROUP BY ALL UNION ALL SELECT 'events', action, count(*) FROM verdict_actions GROUP BY ALL",
         "resolved_urls": f"""WITH {scan_tables()} SELECT message_id, pos, original_url, normalized_url, final_url, original_domain, final_domain, resolved, {joined('signals')}, false AS redirected, html_redirect_detected,
             final_invite_url, coalesce(final_invite_url, '') AS embedded_invites, suspicious_redirector, false AS suspicious_interstitial, status_code, error FROM resolved""",
         "verdicts": f"WITH {verdict_tables()} SELECT message_id, user_id, epoch AS ts, verdict, {', '.join(arrays)}, score, alert_level FROM verdicts",

@@ -270,6 +270,19 @@ def stream_verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/verdicts").groupBy("verdict", "alert_level").agg(F.count(F.lit(1)).alias("messages"), F.sum("score").alias("score"))
 
 
+def stream_alert_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages through verdicts, by the lists of each message's time, and the cooldown to the channels' sinks, in one stream of at least three micro-batches."""
+    sites = spark.read.parquet(f"{sf}/pages.parquet").count() | 1
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    events = jobs.replay(table, "event_id", X.shared_folder(spark), min(jobs.BATCH_ROWS, max(1, -(-table.count() // 3))))
+    snapshot = X.stored(R.inspected_snapshot(latest_snapshot(X.fetches(spark, sf), ["request_url", "method"])))
+    edits = X.stored(X.list_edits(spark, sf))
+    static = jobs.Static(snapshot, X.stored(X.invites(spark, sf)), X.domain_list(spark), X.server_list(spark), lambda: edits)
+    path = jobs.stream_verdicts(X.messages(spark, sf, sites, events), static, X.shared_folder(spark), alerts=True)
+    sink = lambda name, kind: spark.read.parquet(f"{path}/{name}").groupBy(F.lit(name).alias("channel"), F.col(kind).alias("colour")).agg(F.count(F.lit(1)).alias("alerts"))
+    return sink("main", "colour").unionByName(sink("quiet", "colour")).unionByName(sink("events", "action"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "config_state": config_state,
@@ -280,6 +293,7 @@ def queries() -> dict[str, Query]:
         "quarantined": quarantined,
         "alert_channels": alert_channels,
         "stream_verdict_counts": stream_verdict_counts,
+        "stream_alert_channels": stream_alert_channels,
         "verdict_counts": verdict_counts,
         "verdicts": all_verdicts,
         "verdicts_as_of": verdicts_as_of,

@@ -8,12 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own where none is set, in local mode only."""
+    """The cluster's shared folder; one folder of our own for an application where none is set, in local mode only."""
     got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got and not spark.sparkContext.master.startswith("local"):
+    if got:
+        return got
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
-    return got or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return _OWN[app]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -21,3 +29,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Removes the files of a stored table that no later step reads."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        home = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        home.getFileSystem(spark._jsc.hadoopConfiguration()).delete(home, True)

@@ -8,75 +8,151 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructField, StructType, TimestampType
 
 from ..functions.extract import explode_candidates, scan_text
 from ..operators import risk
+from ..operators.alerts import alert_payload, split_main_quiet, suppress_alerts, with_actions
 from ..operators.resolve import direct_invites, lookup_invites, redirect_invites, resolve_urls
 from ..operators.risk import WINDOW_S
-from ..sources.store import stored
+from ..sources.store import discard, stored
 from ..sources.tables import human_messages
 from .state import ROCKSDB, stream_alert_suppression, stream_user_history
 
 __all__ = ["stream_alert_suppression", "stream_user_history"]
+#: What the sinks hold that a stream of messages reads again.
+SUSPICIOUS = "message_id long, user_id long, ts timestamp, base_score int"
+OPEN = "alert_key string, message_id long, user_id long, ts timestamp, emitted boolean"
+CLOCK = "newest timestamp, oldest_batch long"
 #: Rows of a micro-batch of a replay, whatever the table's size.
 BATCH_ROWS = 100_000
 
 
 class Static(NamedTuple):
-    """What a stream of messages is joined with: snapshots and lists as tables."""
+    """What a stream of messages is joined with: snapshots and lists as tables. With `edits` the lists are those of each message's time:
+    it is asked for the edits that there are once for each micro-batch, so that edits may come while messages flow."""
 
     snapshot: DataFrame
     invites: DataFrame
     domains: DataFrame
     servers: DataFrame
+    edits: Callable[[], DataFrame] | None = None
 
 
-def stream_verdicts(messages: DataFrame, static: Static, folder: str, lateness_s: int = 600) -> str:
-    """Scores a stream of messages over what is there, micro-batch by micro-batch, and gives the folder of its sinks, `verdicts` and `late`.
+def seconds(n: int) -> Column:
+    return F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {n})")
 
-    A micro-batch is scored by the batch operators, joined with the static tables. The history of its users comes from the suspicious
-    messages of the last WINDOW_S seconds, which earlier batches have left in `suspicious`. Messages older than the newest of earlier
-    batches by more than lateness_s are not scored: they go to `late`. A batch that is run again writes its own folder again.
+
+def write_batch(df: DataFrame, path: str, name: str, batch: int, ts: str | None = None) -> None:
+    """A micro-batch's rows in a folder of its own under the sink, by date of ts. A batch that is run again takes its own place again."""
+    writer = df.write.mode("overwrite")
+    if ts:
+        writer = df.withColumn("date", F.to_date(ts)).write.mode("overwrite").partitionBy("date")
+    writer.parquet(f"{path}/{name}/batch={batch}")
+
+
+def read_sink(spark: SparkSession, path: str, name: str, schema: str, since: int, before: int) -> DataFrame:
+    """What the batches from `since` to before `before` have left in a sink; no other batch is read."""
+    paths = [f"{path}/{name}/batch={k}" for k in range(max(0, since), before)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def stream_verdicts(messages: DataFrame, static: Static, folder: str, lateness_s: int = 600, path: str | None = None, alerts: bool = False, mode: str = "active") -> str:
+    """Scores a stream of messages over what is there, micro-batch by micro-batch, and gives the folder of its sinks.
+
+    A micro-batch is scored by the batch operators, joined with the static tables, into the sink `verdicts`. The history of its users comes from the
+    suspicious messages of the last WINDOW_S seconds, which earlier batches have left in `suspicious`. Messages older than the newest of earlier
+    batches by more than lateness_s are not scored: they go to `late`. With `alerts` the verdicts go on through the cooldown: `main` and `quiet` have
+    what the two channels get, `events` every action. A sink has a folder for each batch, by date, which a batch that is run again
+    writes again; so a stream that ended between two writes and is started again with its `path` doubles and loses nothing.
     """
     spark = messages.sparkSession
-    path = f"{folder}/verdicts-{uuid.uuid4().hex}"
-
-    def earlier(name: str, batch: int, schema: str) -> DataFrame:
-        """What the batches before left in a sink."""
-        kept = spark.read.schema(f"{schema}, batch long").option("pathGlobFilter", "*.parquet").parquet(f"{path}/{name}") if batch else spark.createDataFrame([], f"{schema}, batch long")
-        return kept.where(F.col("batch") < batch).drop("batch")
+    path = path or f"{folder}/verdicts-{uuid.uuid4().hex}"
 
     def each(rows: DataFrame, batch: int) -> None:
-        write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
-        newest = earlier("clock", batch, "newest timestamp").agg(F.max("newest")).first()[0]
-        rows = stored(human_messages(rows))
-        late = F.lit(False) if newest is None else F.coalesce(F.col("ts") < F.lit(newest) - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {lateness_s})"), F.lit(False))
-        write(rows.where(late), "late")
-        write(rows.agg(F.greatest(F.max("ts"), F.lit(newest).cast("timestamp")).alias("newest")), "clock")
-        scanned = stored(scan_text(rows.where(~late)))
-        resolved = stored(resolve_urls(explode_candidates(scanned), static.snapshot))
+        made: list[DataFrame] = []
+
+        def kept(df: DataFrame) -> DataFrame:
+            made.append(stored(df))
+            return made[-1]
+
+        clock = read_sink(spark, path, "clock", CLOCK, batch - 1, batch).first()
+        newest = clock[0] if clock else None
+        rows = kept(human_messages(rows))
+        late = F.lit(False) if newest is None else F.coalesce(F.col("ts") < F.lit(newest) - seconds(lateness_s), F.lit(False))
+        write_batch(rows.where(late), path, "late", batch)
+        scanned = kept(scan_text(rows.where(~late)))
+        resolved = kept(resolve_urls(explode_candidates(scanned), static.snapshot))
         direct = direct_invites(scanned)
         found = lookup_invites(direct.unionByName(redirect_invites(resolved, direct)), static.invites)
-        scored = stored(risk.base_score(risk.message_flags(scanned, risk.url_flags(resolved, static.domains), risk.invite_flags(found, static.servers))))
+        if static.edits:
+            found, edits = kept(found), static.edits()
+            flags = risk.url_flags_as_of(resolved, scanned, edits), risk.invite_flags_as_of(found, scanned, edits)
+        else:
+            flags = risk.url_flags(resolved, static.domains), risk.invite_flags(found, static.servers)
+        scored = kept(risk.base_score(risk.message_flags(scanned, *flags)))
         own = scored.select("message_id", "user_id", "ts", "base_score").where("base_score > 0")
+        # No message of this or a later batch is older than what is not late; its users' history goes WINDOW_S further back.
         oldest = own.agg(F.min("ts")).first()[0]
-        past = earlier("suspicious", batch, "message_id long, user_id long, ts timestamp, base_score int")
+        past = read_sink(spark, path, "suspicious", SUSPICIOUS, clock[1] if clock else 0, batch)
         if oldest is not None:
-            past = past.where(F.col("ts") >= F.lit(oldest) - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {WINDOW_S})"))
-        write(risk.verdicts(risk.with_history(scored, risk.user_history(past.unionByName(own)))), "verdicts")
-        write(own, "suspicious")
-
-    query = messages.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(each).start()
-    query.awaitTermination()
+            past = past.where(F.col("ts") >= F.lit(oldest) - seconds(WINDOW_S))
+        verdicts = risk.verdicts(risk.with_history(scored, risk.user_history(past.unionByName(own))))
+        if alerts:
+            verdicts = kept(verdicts)
+        write_batch(verdicts, path, "verdicts", batch, "ts")
+        write_batch(own, path, "suspicious", batch)
+        if alerts:
+            _alert_batch(verdicts, path, batch, mode, kept)
+        write_batch(_clock(rows, own, path, batch, newest, clock[1] if clock else 0, lateness_s), path, "clock", batch)
+        for table in made:
+            discard(table)
+
+    _run(messages.writeStream.foreachBatch(each), f"{path}/state")
     return path
 
 
+def _clock(rows: DataFrame, own: DataFrame, path: str, batch: int, newest: datetime | None, oldest_batch: int, lateness_s: int) -> DataFrame:
+    """The newest time so far, and the first batch whose suspicious messages later ones can still reach: earlier files are not read again."""
+    spark = rows.sparkSession
+    now = rows.agg(F.greatest(F.max("ts"), F.lit(newest).cast("timestamp"))).first()[0]
+    while oldest_batch < batch and now is not None:
+        held = read_sink(spark, path, "suspicious", SUSPICIOUS, oldest_batch, oldest_batch + 1).agg(F.max("ts")).first()[0]
+        if held is not None and held >= now - timedelta(seconds=lateness_s + WINDOW_S):
+            break
+        oldest_batch += 1
+    return spark.createDataFrame([(now, oldest_batch)], CLOCK)
+
+
+def _alert_batch(verdicts: DataFrame, path: str, batch: int, mode: str, kept: Callable[[DataFrame], DataFrame]) -> None:
+    """The cooldown over micro-batches: each key's last alert and what it has muted so far come from the batch before, in `open`, and go on to the next.
+
+    A row that is older than its key's last alert of an earlier batch is muted by that alert.
+    """
+    spark = verdicts.sparkSession
+    actions = kept(with_actions(verdicts, mode))
+    write_batch(actions.select("message_id", "user_id", "ts", "action", "verdict", "reasons", "score"), path, "events", batch, "ts")
+    before = read_sink(spark, path, "open", OPEN, batch - 1, batch)
+    sent = before.where("emitted").select("alert_key", (F.col("ts") + F.expr("INTERVAL 1 MICROSECOND")).alias("after"))
+    new = actions.select("alert_key", "message_id", "user_id", "ts").join(sent, "alert_key", "left").withColumn("ts", F.greatest("ts", "after")).drop("after")
+    carried = before.select("alert_key", "message_id", "user_id", "ts", F.lit(False).alias("new"))
+    every = kept(carried.unionByName(new.withColumn("new", F.lit(True))))
+    told = suppress_alerts(every).join(every.select("alert_key", "message_id", "new"), ["alert_key", "message_id"])
+    told = kept(told)
+    payload = kept(alert_payload(told.where("new"), actions).join(actions.select("message_id", "ts"), "message_id"))
+    for name, part in zip(("main", "quiet"), split_main_quiet(payload), strict=True):
+        write_batch(part, path, name, batch, "ts")
+    last = told.where("emitted").groupBy("alert_key").agg(F.max("ts").alias("last"))
+    still = told.join(last, "alert_key").where(F.col("ts") >= F.col("last"))
+    write_batch(still.select("alert_key", "message_id", "user_id", "ts", "emitted"), path, "open", batch)
+
+
 def quarantine(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that can be scanned and rows with an error that can't."""
     error = F.when(F.col("message_id").isNull(), "no message_id").when(F.col("ts").isNull(), "no ts").when(~F.is_valid_utf8(F.coalesce("content", F.lit(""))), "bad text")
