@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import shared_folder, stored
@@ -142,3 +142,45 @@ def config_changes_sql() -> str:
 
 def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, config_changes_sql()).withColumn("ts", F.timestamp_seconds("epoch"))
+
+
+#: What the probe of a page says, by page_id % 10: before the page's own markup, its content type, where it lands, and redirects on the way.
+PROBES = {
+    0: ('<meta http-equiv="refresh" content="0; url=https://next.example.org/p">', "text/html", None, 0),
+    1: ('<meta http-equiv="refresh" content="3;url=https://discord.gg/meta1">', "TEXT/HTML ; charset=utf-8", None, 0),
+    2: ("<p>Please wait</p><script>location.replace('https://go.example.org/w');</script>", "text/html", None, 0),
+    3: ("x" * 65_536 + ' <meta http-equiv="refresh" content="0; url=https://late.example.org/p"> https://discord.gg/late ', "text/html", None, 0),
+    4: ("<p>https://discord.gg/ab\xffc1 </p>", "text/html", None, 0),
+    5: ("", "text/html", None, 0),
+    6: ("", "text/html", None, 0),
+    7: ('<meta http-equiv="refresh" content="0; url=/next">', "application/xhtml+xml", None, 0),
+    8: ('<meta http-equiv="refresh" content="0; url=https://next.example.org/p">', "text/plain", None, 0),
+    9: ("", "text/html", "https://landed.example.org/x", 2),
+}
+
+
+def probe_deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Two deliveries of crawl outcomes of a probe of each page. The first has an old error of all, the second what is to be; for
+    page_id % 10 = 6 the second is an older row that comes late."""
+    k = (F.col("page_id") % 10).cast("int")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    pick = lambda i, kind: F.coalesce(*(F.when(k == n, F.lit(p[i]).cast(kind)) for n, p in PROBES.items()))
+    before = F.coalesce(*(F.when(k == n, F.lit(p[0].encode("latin-1"))) for n, p in PROBES.items()))
+    url = F.concat(F.lit("https://probe"), F.col("page_id").cast("string"), F.lit(".example.net/a"))
+    rows = pages.select("page_id", url.alias("request_url"), F.concat(before, F.encode("html", "utf-8")).alias("page"), pick(1, "string").alias("kind"), pick(2, "string").alias("to"), pick(3, "int").alias("hops"))
+    rows = rows.withColumn("method", F.explode(F.array(F.lit("HEAD"), F.lit("GET"))))
+    head = F.col("method") == "HEAD"
+    by_head = head & (F.col("page_id") % 10 == 5)
+
+    def at(seconds: int, error: Column) -> DataFrame:
+        fine = error.isNull()
+        return rows.select(
+            "request_url", "method", F.when(by_head & fine, 200).when(head, 405).otherwise(200).alias("status"),
+            F.when(by_head, F.lit("https://discord.gg/head5")).otherwise(F.coalesce("to", "request_url")).alias("final_url"), F.when(by_head, 1).otherwise(F.col("hops")).alias("history_len"),
+            F.when(~head, F.col("kind")).alias("content_type"), F.when(~head & fine, F.col("page")).alias("body"), error.alias("error"), F.timestamp_seconds(F.lit(T0 + seconds)).alias("fetched_at"),
+        )
+
+    first, last = at(50, F.when(~head, F.lit("timeout"))), at(100, F.lit(None).cast("string"))
+    late = last.withColumn("fetched_at", F.timestamp_seconds(F.lit(T0 + 10)))
+    is_odd = F.regexp_extract("request_url", r"probe(\d+)", 1).cast("long") % 10 == 6
+    return [first, last.where(~is_odd).unionByName(late.where(is_odd))]

@@ -180,6 +180,32 @@ def verdict_tables(as_of: bool = False) -> str:
     )"""
 
 
+#: By page_id % 10 where a probe leads (null: it stays), its invite, whether the page redirects, whether it makes one wait, and its signals.
+PROBED = {
+    0: ("https://next.example.org/p", None, True, False, "html_redirect_detected meta_refresh_redirect"),
+    1: ("https://discord.gg/meta1", "https://discord.gg/meta1", True, False, "embedded_invite html_redirect_detected meta_refresh_redirect"),
+    2: ("https://go.example.org/w", None, True, True, "html_redirect_detected interstitial_html javascript_redirect javascript_redirect_detected suspicious_interstitial"),
+    3: (None, None, False, False, ""),
+    4: (None, "https://discord.gg/abc1", False, False, "embedded_invite"),
+    5: ("https://discord.gg/head5", "https://discord.gg/head5", False, False, "redirect_followed"),
+    6: (None, None, False, False, ""),
+    7: ("https://probe{id}.example.net/next", None, True, False, "html_redirect_detected meta_refresh_redirect"),
+    8: (None, None, False, False, ""),
+    9: ("https://landed.example.org/x", None, False, False, "redirect_followed"),
+}
+
+
+def probes() -> str:
+    text = lambda x: "NULL" if x is None else "replace('" + x + "', '{id}', CAST(page_id AS VARCHAR))"
+    pick = lambda i, made: "CASE page_id % 10 " + " ".join(f"WHEN {k} THEN {made(p[i])}" for k, p in PROBED.items()) + " END"
+    return f"""SELECT page_id, original_url, CASE WHEN resolved THEN coalesce(led, original_url) END AS final_url, {_host('original_url')} AS original_domain,
+            CASE WHEN resolved THEN {_host('coalesce(led, original_url)')} END AS final_domain, resolved, array_to_string(signals, '|') AS signals, page_id % 10 IN (5, 9) AS redirected,
+            html_redirect_detected, final_invite_url, CASE WHEN page_id % 10 = 5 THEN '' ELSE coalesce(final_invite_url, '') END AS embedded_invites, suspicious_interstitial,
+            200::INTEGER AS status_code, CASE WHEN NOT resolved THEN 'timeout' END AS error
+        FROM (SELECT page_id, 'https://probe' || page_id || '.example.net/a' AS original_url, {pick(0, text)} AS led, {pick(1, text)} AS final_invite_url, {pick(2, str)} AS html_redirect_detected,
+            {pick(3, str)} AS suspicious_interstitial, {pick(4, _list)} AS signals, page_id % 10 <> 6 AS resolved FROM pages)"""
+
+
 def joined(column: str) -> str:
     return f"coalesce(array_to_string({column}, '|'), '') AS {column}"
 
@@ -225,6 +251,7 @@ def sql() -> dict[str, str]:
         FROM verdicts v JOIN flags USING (message_id) LEFT JOIN lines USING (message_id) LEFT JOIN named USING (message_id)"""
     return {
         "scan_reports": report,
+        "crawl_probes": probes(),
         "stream_verdict_counts": f"WITH {verdict_tables()} SELECT verdict, alert_level, count(*) AS messages, CAST(sum(score) AS BIGINT) AS score FROM verdicts GROUP BY ALL",
         "alert_channels": f"{emitted} SELECT alert_level AS channel, colour, count(*) AS alerts FROM shown GROUP BY ALL",
         "stream_alert_channels": f"{shown_by(True)} SELECT alert_level AS channel, colour, count(*) AS alerts FROM shown GROUP BY ALL UNION ALL SELECT 'events', action, count(*) FROM verdict_actions GROUP BY ALL",

@@ -15,6 +15,7 @@ from ..operators import alerts as A
 from ..operators import lists as L
 from ..operators import resolve as R
 from ..operators import risk
+from ..sources.snapshots import bucketed, fetch_table, latest_rows
 from ..sources.tables import human_messages, latest_snapshot, read_domain_list, read_list_documents, read_messages, read_server_list, runtime_config, set_punishment_config, write_lists
 from ..streaming import jobs
 from . import fixtures as X
@@ -77,6 +78,19 @@ def inspected_pages(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(inspect_html(pages).drop("page"))
 
 
+def crawl_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a probe of each page leads, by crawl outcomes that came in two deliveries, of which the latest count."""
+    paths = []
+    for rows in X.probe_deliveries(spark, sf):
+        paths.append(f"{X.shared_folder(spark)}/delivery-{uuid.uuid4().hex}")
+        rows.write.parquet(paths[-1])
+    snapshot = bucketed(R.inspected_snapshot(latest_rows(fetch_table(spark, paths), "request_url")), "request_url")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    url = F.concat(F.lit("https://probe"), F.col("page_id").cast("string"), F.lit(".example.net/a"))
+    asked = pages.select(F.col("page_id").alias("message_id"), F.lit(0).alias("pos"), url.alias("url"), F.array().cast("array<string>").alias("signals"), url.alias("normalized_url"))
+    return _flat(R.resolve_urls(asked, snapshot).withColumnRenamed("message_id", "page_id").drop("pos", "normalized_url", "suspicious_redirector"))
+
+
 def human(spark: SparkSession, sf: str) -> DataFrame:
     """Messages through their source: written as a table and read by its schema."""
     path = f"{X.shared_folder(spark)}/messages-{uuid.uuid4().hex}"
@@ -302,6 +316,7 @@ def queries() -> dict[str, Query]:
         "scan_summaries": summaries,
         "alert_payloads": alert_table,
         "inspected_pages": inspected_pages,
+        "crawl_probes": crawl_probes,
         "human_messages": human,
         "text_functions": text_functions,
         "page_domains": domains,
