@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +92,54 @@ def domain_matches(rows: DataFrame, domain_list: DataFrame, domain: str = "domai
     return hit.distinct()
 
 
+#: A list of up to so many entries is sent to tasks as sorted hashes, of 8 bytes each.
+SENT = 1 << 22
+
+
+def _perhaps_listed(entries: DataFrame, sent: int) -> Callable[[Column], Column] | None:
+    """A test of a domain that is false only if neither it nor a parent is an entry; none for a list of more than `sent` entries."""
+    if entries.count() > sent:
+        return None
+    hashes = np.sort(np.array([r[0] for r in entries.select(F.xxhash64("domain")).collect()], np.int64))
+    shared = entries.sparkSession.sparkContext.broadcast(hashes)
+
+    @F.pandas_udf("boolean")
+    def any_known(suffixes: pd.Series) -> pd.Series:
+        known = shared.value
+        size = suffixes.map(len).to_numpy()
+        flat = np.concatenate([np.zeros(0, np.int64), *suffixes])
+        hit = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
+        found = np.concatenate([[0], np.cumsum(hit)])
+        ends = np.cumsum(size)
+        return pd.Series(found[ends] > found[ends - size])
+
+    return lambda domain: any_known(F.coalesce(F.transform(host_suffixes(domain), lambda s: F.xxhash64(s)), F.array().cast("array<bigint>")))
+
+
+def listed_domains(rows: DataFrame, domain_list: DataFrame, domain: str = "domain", sent: int = SENT) -> DataFrame:
+    """The distinct domains of rows that are entries of the list, or below one.
+
+    Hashes of the entries, where they are few enough to send, drop nearly all other domains before any is moved; the join by suffix then decides, whatever
+    the list's size.
+    """
+    entries = domain_list.select(F.col("domain").alias("domain")).where("domain IS NOT NULL").distinct()
+    names = rows.select(F.col(domain).alias("name")).where("name IS NOT NULL")
+    perhaps = _perhaps_listed(entries, sent)
+    names = (names.where(perhaps(F.col("name"))) if perhaps else names).distinct()
+    below = names.withColumn("suffix", F.explode(host_suffixes(F.col("name"))))
+    return below.join(entries.withColumnRenamed("domain", "suffix"), "suffix", "left_semi").select(F.col("name").alias(domain)).distinct()
+
+
+def domains_on(rows: DataFrame, domain_list: DataFrame, domain: str = "domain", sent: int = SENT) -> DataFrame:
+    """The rows whose domain, or a parent of it, is on the list."""
+    return rows.join(listed_domains(rows, domain_list, domain, sent), domain, "left_semi")
+
+
+def domains_off(rows: DataFrame, domain_list: DataFrame, domain: str = "domain", sent: int = SENT) -> DataFrame:
+    """The other rows, those without a domain among them."""
+    return rows.join(listed_domains(rows, domain_list, domain, sent), domain, "left_anti")
+
+
 def server_matches(rows: DataFrame, server_list: DataFrame, server: str = "guild_id") -> DataFrame:
     return rows.join(server_list.select("list_name", F.col("server_id").alias(server)), server)
 

@@ -146,6 +146,29 @@ def matched_domains(spark: SparkSession, sf: str) -> DataFrame:
     return L.domain_matches(pages, hosts.unionByName(parents).unionByName(none).distinct())
 
 
+def _blocked_parents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A part of each page's host, for odd pages a name below it, and a list of some of these parts."""
+    part = F.concat(F.lit("s"), (F.col("page_id") % 97).cast("string"), F.lit("."), T.normalize_domain(F.col("url")))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", part.alias("domain"))
+    asked = pages.withColumn("domain", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("deep."), "domain")).otherwise(F.col("domain")))
+    return asked, pages.where("page_id % 11 = 3").select("domain")
+
+
+def domains_on(spark: SparkSession, sf: str) -> DataFrame:
+    return L.domains_on(*_blocked_parents(spark, sf))
+
+
+def domains_off(spark: SparkSession, sf: str) -> DataFrame:
+    return L.domains_off(*_blocked_parents(spark, sf))
+
+
+def compatible_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with letters, digits and signs that have a plainer form, and what they are in it."""
+    wide = F.translate(F.col("message_id").cast("string"), "0123456789", "０１２３４５６７８９")
+    text = F.concat("content", F.lit(" ﬁｎｅ ①² ｶﾞ e\u0301 "), wide)
+    return X.messages(spark, sf).select("message_id", T.nfkc(text).alias("nfkc"), T.normalize_text(F.concat(F.lit("ｗｗｗ．"), wide, F.lit("\u2060。"))).alias("normal"))
+
+
 def matched_servers(spark: SparkSession, sf: str) -> DataFrame:
     return L.server_matches(X.messages(spark, sf).select("message_id", "guild_id"), X.server_list(spark))
 
@@ -326,6 +349,9 @@ def queries() -> dict[str, Query]:
         "lists_as_of": lists_as_of,
         "domain_matches": matched_domains,
         "server_matches": matched_servers,
+        "domains_on": domains_on,
+        "domains_off": domains_off,
+        "compatible_texts": compatible_texts,
         "user_history": user_history,
         "alert_cooldown": alert_cooldown,
         "recent_events": recent,
@@ -351,6 +377,9 @@ def oracle_sql() -> dict[str, str]:
     acts = f"""SELECT message_id, user_id, epoch, concat('key', user_id % 7) AS alert_key, CASE message_id % 3 WHEN 0 THEN 'review_low' WHEN 1 THEN 'block' ELSE 'review_high' END AS action FROM {m}"""
     recent = f"""SELECT printf('evt-%04d', n) AS event_id, message_id, user_id, action FROM (SELECT *, row_number() OVER (ORDER BY epoch, message_id) AS n FROM ({acts})) QUALIFY row_number() OVER (ORDER BY n DESC) <= 25"""
     cooldown = f"{oracles.cooldown(acts)} SELECT * FROM alerts"
+    below = f"""WITH p AS (SELECT page_id, concat('s', page_id % 97, '.', {host}) AS part FROM pages), h AS (SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'deep.' || part ELSE part END AS domain FROM p),
+        listed AS (SELECT part AS entry FROM p WHERE page_id % 11 = 3)"""
+    listed = "EXISTS (SELECT 1 FROM listed WHERE domain = entry OR ends_with(domain, '.' || entry))"
     return oracles.sql() | {
         "page_links": "SELECT page_id, concat(url, '|www.example.org/', page_id, '|', url, 'orwww.example.org/', page_id) AS urls FROM pages",
         "punishments": f"""SELECT message_id, action = 'block' AS delete, CASE WHEN skip_reason IS NULL THEN p END AS punish, skip_reason,
@@ -376,6 +405,10 @@ def oracle_sql() -> dict[str, str]:
         "domain_matches": f"""WITH h AS (SELECT page_id, {host} AS domain FROM pages),
             listed AS (SELECT 'allowlist' AS list_name, domain AS entry FROM h WHERE page_id % 5 = 0 UNION SELECT 'blocklist', domain[position('.' IN domain) + 1 :] FROM h WHERE page_id % 7 = 0 UNION SELECT 'blocklist', 'nowhere.invalid')
             SELECT DISTINCT page_id, domain, list_name FROM h JOIN listed ON domain = entry OR ends_with(domain, '.' || entry)""",
+        "domains_on": f"{below} SELECT page_id, domain FROM h WHERE {listed}",
+        "domains_off": f"{below} SELECT page_id, domain FROM h WHERE NOT {listed}",
+        "compatible_texts": f"SELECT message_id, concat(content, ' fine 12 ', chr(12460), ' ', chr(233), ' ', message_id) AS nfkc, concat('www.', message_id, '.') AS normal FROM {m}",
+        "inspected_pages": "SELECT page_id, url AS base_url, false AS html_redirect_detected, CAST(NULL AS VARCHAR) AS html_final_url, '' AS embedded_invites, false AS suspicious_interstitial, '' AS html_signals FROM pages",
         "server_matches": f"SELECT message_id, guild_id, CASE WHEN guild_id = 40 THEN 'blocklist' ELSE 'allowlist' END AS list_name FROM {m} WHERE guild_id IN (10, 20, 40)",
         "user_history": history,
         "stream_user_history": history,
