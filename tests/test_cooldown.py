@@ -125,10 +125,10 @@ def test_idle_state_goes_away(spark, tmp_path):
     """A user who was last seen long before the watermark has no state left, nor has a key that is forgotten."""
     rows = [("a", i, 100 + i % 5, T0 + datetime.timedelta(seconds=i)) for i in range(50)] + [("b", 60, 7, T0 + datetime.timedelta(days=2)), ("b", 61, 7, T0 + datetime.timedelta(days=2, seconds=1))]
     path = str(tmp_path / "h")
-    jobs._run(jobs.stream_user_history(replayed(spark, rows, str(tmp_path), 50)).writeStream.format("parquet").option("path", path), path + "-state")
+    jobs._run(spark, jobs.stream_user_history(replayed(spark, rows, str(tmp_path), 50)).writeStream.format("parquet").option("path", path), path + "-state")
     left = spark.read.format("statestore").option("stateVarName", "stamps").load(path + "-state")
     assert {r[0] for r in left.select("key.key").collect()} == {"7"}
     path = str(tmp_path / "c")
-    jobs._run(jobs.stream_alert_suppression(replayed(spark, rows, str(tmp_path), 50), forget_s=3600).writeStream.format("parquet").option("path", path), path + "-state")
+    jobs._run(spark, jobs.stream_alert_suppression(replayed(spark, rows, str(tmp_path), 50), forget_s=3600).writeStream.format("parquet").option("path", path), path + "-state")
     left = spark.read.format("statestore").option("stateVarName", "users").load(path + "-state")
     assert {r[0] for r in left.select("key.key").collect()} == {"b"}

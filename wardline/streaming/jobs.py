@@ -114,7 +114,7 @@ def stream_verdicts(messages: DataFrame, static: Static, folder: str, lateness_s
         for table in made:
             discard(table)
 
-    _run(messages.writeStream.foreachBatch(each), f"{path}/state")
+    _run(spark, messages.writeStream.foreachBatch(each), f"{path}/state")
     return path
 
 
@@ -185,17 +185,17 @@ def late_apart(messages: DataFrame, folder: str, stateful: Callable[[DataFrame,
             rows.unpersist()
         # All files that are new are one micro-batch.
         stream = spark.readStream.schema(source).option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").option("maxFileAge", "3650d").parquet(f"{path}/on-time")
-        _run(stateful(stream, f"{lateness_s + 1} seconds").writeStream.format("parquet").option("path", f"{path}/out"), f"{path}/state")
+        _run(spark, stateful(stream, f"{lateness_s + 1} seconds").writeStream.format("parquet").option("path", f"{path}/out"), f"{path}/state")
 
-    _run(messages.writeStream.foreachBatch(each), f"{path}/split")
+    _run(spark, messages.writeStream.foreachBatch(each), f"{path}/split")
     out = stateful(spark.readStream.schema(source).parquet(f"{path}/on-time"), f"{lateness_s + 1} seconds").schema
     late = spark.read.schema(StructType([*source.fields, StructField("clock", TimestampType())])).option("recursiveFileLookup", True).parquet(f"{path}/late")
     return spark.read.schema(out).parquet(f"{path}/out"), late
 
 
-def _run(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Runs a query over what is there, its state in RocksDB."""
-    conf, key = SparkSession.getActiveSession().conf, "spark.sql.streaming.stateStore.providerClass"
+def _run(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
+    """Runs a query of this session over what is there, its state in RocksDB. (The active session may be that of an earlier stream.)"""
+    conf, key = spark.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(key)
     conf.set(key, ROCKSDB)
     try:
@@ -231,5 +231,5 @@ def _place(path) -> tuple[int, int]:
 def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs a stream over what is there, into a table in the folder, and reads it."""
     path = f"{folder}/stream-{uuid.uuid4().hex}"
-    _run(stream.writeStream.foreachBatch(each) if each else stream.writeStream.format("parquet").option("path", path), f"{path}-state")
+    _run(stream.sparkSession, stream.writeStream.foreachBatch(each) if each else stream.writeStream.format("parquet").option("path", path), f"{path}-state")
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
