@@ -98,6 +98,14 @@ def texts(column: pa.Array) -> Texts:
     return Texts(data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64))
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES from here on in this session: both sides of a task hold a batch's buffers several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def give_back() -> None:
     """Frees what a worker's allocators hold and don't use: workers serve many stages."""
     pa.default_memory_pool().release_unused()
