@@ -27,7 +27,7 @@ MIX = Mix({**{(d,): w for d, w in DOMAINS.items()}, **{(d, "en"): 2.0 for d in D
 LIMITS = Limits(documents=64)
 #: Bytes of a batch between Spark and Python: each stage's batches come after those of the others in the same workers.
 BATCH_BYTES = 8 << 20
-#: Chunks that packing keeps, for the length of a task: other stages run in its workers.
+#: Runs that packing keeps, for the length of a task: other stages run in its workers.
 KEPT = 100_000
 
 
