@@ -13,7 +13,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm._core import checkpoint_dir, discard, scratch
+from wardline.llm._core import bound_batches, checkpoint_dir, discard, scratch
 from wardline.llm.exact_dedup import keep_first_copies
 from wardline.llm.mixing import Mix, mix_sources
 from wardline.llm.ngram_join import keep_one_of_each
@@ -25,18 +25,20 @@ from wardline.llm.queries import DOMAINS, vocabulary
 MIX = Mix({**{(d,): w for d, w in DOMAINS.items()}, **{(d, "en"): 2.0 for d in DOMAINS}}, budget=0.8, max_epochs=2)
 #: At most 64 documents share a sequence.
 LIMITS = Limits(documents=64)
-#: Bytes of a batch between Spark and Python: each stage's batches come after those of the others in the same workers.
-BATCH_BYTES = 8 << 20
+#: Bytes of a batch between Spark and Python, and rows of a batch that Parquet readers fill: each stage's batches come after those of the others in the same processes.
+BATCH_BYTES = 1 << 19
+READER_ROWS = 512
 #: Runs that packing keeps, for the length of a task: other stages run in its workers.
 KEPT = 100_000
 
 
 def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage with Arrow batches of at most BATCH_BYTES, whose buffers both sides of a task hold several times."""
+    """The stage with Arrow batches of at most BATCH_BYTES, whose buffers and arrays both sides of a task hold several times, and small batches of readers."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        bound_batches(spark, BATCH_BYTES)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -45,7 +47,7 @@ def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Calla
 @bounded
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return keep_good(docs)
+    return keep_good(docs, batch_bytes=BATCH_BYTES)
 
 
 @bounded

@@ -14,7 +14,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._core import materialize, unused
@@ -55,6 +56,13 @@ def water_fill(children: DataFrame, family: list[str], name: str) -> DataFrame:
     return out.withColumn("share", share).drop("ratio", "left", "level", "first")
 
 
+def given_weights(spark: SparkSession, mix: Mix, path: list[str]) -> DataFrame:
+    """path, weight of the mix's paths of that length. They go through Arrow: rows would start Python workers of their own on the executors, which then idle beside those of other stages."""
+    rows = [(*p, float(w)) for p, w in mix.weights.items() if len(p) == len(path)]
+    schema = pa.schema([*((c, pa.string()) for c in path), ("weight", pa.float64())])
+    return spark.createDataFrame(pa.table(list(zip(*rows, strict=True)) or [[] for _ in schema], schema=schema))
+
+
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """leaves (domain, lang, source, n tokens) with share: the tokens to take from each."""
     spark = leaves.sparkSession
@@ -62,8 +70,7 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     levels = []
     for k in (3, 2, 1):
         path = list(LEVELS[:k])
-        rows = [(*p, float(w)) for p, w in mix.weights.items() if len(p) == k]
-        given = F.broadcast(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in path) + ", weight double"))  # as large as the mix that the caller wrote
+        given = F.broadcast(given_weights(spark, mix, path))  # as large as the mix that the caller wrote
         nodes = tree.groupBy(*path).agg(F.sum("capacity").alias("capacity")).join(given, path, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
         tree = nodes.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0.0))
         levels.append(materialize(tree))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._core import SPACES, Texts, Words, bound_batches, column, covered, grams, materialize, mix, per_row, run_hash, slices, texts, unused, words
+from ._core import BATCH_BYTES, SPACES, Texts, Words, bound_batches, column, covered, grams, materialize, mix, per_row, run_hash, slices, texts, unused, words
 from ._lookup import HashArrays, Tally, answers, deal, parts_of, received
 
 #: The symbols counted by n_symbols.
@@ -193,13 +193,13 @@ def document_stats(docs: DataFrame, model: DataFrame, entries: int = MODEL_ENTRI
     return dealt.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(in_chunk, STATS)
 
 
-def quality_rules(docs: DataFrame, width: float = WIDTH, entries: int = MODEL_ENTRIES) -> DataFrame:
+def quality_rules(docs: DataFrame, width: float = WIDTH, entries: int = MODEL_ENTRIES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per row of docs with the counts, base_failed, kept, the perplexities and their bands.
 
     Null and empty texts have no words, so base_failed. A null language has a band of its own. Texts of any length are scored whole.
     An empty table gives no rows; repeated rows are judged alike; other columns of docs are ignored.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, batch_bytes)
     model = materialize(hashed(kneser_ney(materialize(gram_counts(docs)))))
     stats = materialize(document_stats(docs, model, entries))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
