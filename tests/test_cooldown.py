@@ -53,6 +53,17 @@ def test_slices_equal_the_walk(spark, seed, slice_rows):
     assert sorted(map(tuple, got), key=repr) == sorted(walk(rows), key=repr)
 
 
+def test_slices_stay_whole_where_the_join_with_entries_turns_into_a_broadcast(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # tables this small have several map tasks only so
+    try:
+        rows = events(4)
+        got = suppress_alerts(spark.createDataFrame(rows, KINDS).repartition(7), 20).select(COLUMNS).collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(map(tuple, got), key=repr) == sorted(walk(rows), key=repr)
+
+
 def test_a_hot_key_runs_in_many_slices(spark):
     rows = spark.createDataFrame(events(1), KINDS).select("alert_key", "message_id", "user_id", F.unix_micros("ts").alias("us"))
     cut = sliced(rows, 50)
