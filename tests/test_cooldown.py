@@ -4,11 +4,14 @@ import datetime
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wardline.operators.cooldown import COOLDOWN, entry_times, last_alerts, slice_map, sliced, suppress_alerts
 from wardline.streaming import jobs
+from wardline.streaming.state import Cooldown, History
 
 T0 = datetime.datetime(2024, 5, 1, 12, 0, 0)
 KINDS = "alert_key string, message_id long, user_id long, ts timestamp"
@@ -143,3 +146,72 @@ def test_idle_state_goes_away(spark, tmp_path):
     jobs._run(spark, jobs.stream_alert_suppression(replayed(spark, rows, str(tmp_path), 50), forget_s=3600).writeStream.format("parquet").option("path", path), path + "-state")
     left = spark.read.format("statestore").option("stateVarName", "users").load(path + "-state")
     assert {r[0] for r in left.select("key.key").collect()} == {"b"}
+
+
+class Store:
+    """A state variable that counts the calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        self.calls += 1
+        return self.held.get("value", ())
+
+    def update(self, value):
+        self.held, self.calls = {"value": value}, self.calls + 1
+
+    put = update
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def updateValue(self, key, value):
+        self.held[key], self.calls = value, self.calls + 1
+
+    def clear(self):
+        self.held, self.calls = {}, self.calls + 1
+
+
+class Handle:
+    def __init__(self):
+        self.stores = []
+
+    def getListState(self, *_):
+        self.stores.append(Store())
+        return self.stores[-1]
+
+    getValueState = getMapState = getListState
+
+    def listTimers(self):
+        return iter(())
+
+    def registerTimer(self, _):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+@pytest.mark.parametrize("kind", ["history", "cooldown"])
+def test_the_store_is_not_called_for_each_row(kind):
+    handle, us = Handle(), [i * 7_000_000 for i in range(3000)]
+    processor = History() if kind == "history" else Cooldown(None)
+    processor.init(handle)
+    for part in (us[:1500], us[1500:]):
+        rows = [Row(us=t, message=str(t), user=str(t // 7_000_000 % 5)) for t in part]
+        given = iter(rows) if kind == "history" else iter([pd.DataFrame([r.asDict() for r in rows])])
+        got = list(processor.handleInputRows(("k",), given, handle))
+        assert sum(len(x) for x in got) == 1500 if kind == "cooldown" else len(got) == 1500
+    assert sum(s.calls for s in handle.stores) < 50
+
+
+def test_replay_has_no_small_micro_batches(spark, tmp_path):
+    table = spark.range(20_000).withColumn("x", F.xxhash64("id")).repartition(4, "x")
+    jobs.replay(table, "id", str(tmp_path), 1000)
+    sizes = [spark.read.parquet(str(f)).count() for f in tmp_path.glob("replay-*/part-*.parquet")]
+    assert sum(sizes) == 20_000 and max(sizes) <= 1000 and len(sizes) < 25 and min(sizes) > 500
