@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import lists as L
-from wardline.operators.risk import user_history
+from wardline.operators.risk import user_history, with_own_history
 from wardline.operators.spread import heavy_keys, spread_join
+from wardline.plans import queries
 
 T0 = datetime.datetime(2024, 5, 1, 12, 0, 0)
 
@@ -67,3 +68,20 @@ def test_history_in_slices(spark, slice_s):
     fit = [r for r in rows if r[1] is not None and r[2] is not None and r[3]]
     want = {m: sum(u == v and datetime.timedelta(0) <= t - s <= datetime.timedelta(seconds=600) and (s < t or k < m) for k, v, s, _ in fit) for m, u, t, _ in fit}
     assert got == want
+
+
+def test_history_keeps_the_columns_of_its_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 2, None]), None if i % 17 == 0 else datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randint(0, 9000)), rng.choice([0, 10]), f"text {i}") for i in range(400)]
+    scored = spark.createDataFrame(rows, "message_id long, user_id long, ts timestamp, base_score int, content string").repartition(3)
+    known = {r.message_id: r.earlier for r in user_history(scored).collect()}
+    got = with_own_history(scored).select("message_id", "user_id", "ts", "base_score", "content", "earlier").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((*r, known.get(r[0], 0))) for r in rows) and any(known.values())
+
+
+def test_a_scan_takes_each_text_once(spark):
+    s = queries.scan(spark, "/root/testdata/sf0.001")
+    texts = [r.content for r in s["texts"].collect()]
+    messages = s["messages"].join(s["texts"].select(F.col("message_id").alias("text_id"), F.col("content").alias("text")), "text_id").collect()
+    assert len(texts) == len(set(texts)) == len({r.content for r in messages}) < len(messages)
+    assert all(r.content == r.text for r in messages)
