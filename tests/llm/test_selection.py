@@ -239,3 +239,14 @@ def test_many_languages(spark):
     got = {x.doc_id: x for x in LID.language_id(table(spark, rows)).collect()}
     assert len(got) == 283 and got[900].lang_pred == got[901].lang_pred == "und" and got[900].score == 0
     assert got[None].lang_pred.startswith("l") and all(0 <= x.score <= 1 for x in got.values())
+
+
+def test_texts_go_to_cells_packed(spark):
+    """What comes out of a packed text are its shingles, and it is far less than they are."""
+    values = ["", "one", " ".join(f"word{i % 900} ü" for i in range(90_000)), "a b c d", "日本 語 の 文", " ".join(f"w{i % 50}" for i in range(700))]
+    rows = N.packed(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string").coalesce(1)).orderBy("doc_id").toArrow()
+    batch = rows.combine_chunks().to_batches()[0]
+    got = list(N.unpacked_shingles(batch, 3))
+    h, bounds = N.shingles(texts(pa.array(values)), 3)
+    assert [x.tolist() for x in got] == [h[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert 2 * len(batch.column("packed")[2].as_py()) < 8 * len(got[2]) and batch.column("size").to_pylist() == [len(v.encode()) for v in values]
